@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, quality, sharding, simhash
 
-QUERIES = {"op2_decontaminate": decontaminate.op2_decontaminate}
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
+QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_mix": mixing.op3_mix,
+    "op6_quality": quality.op6_quality,
+    "op8_shard": sharding.op8_shard,
+    "op9_simhash": simhash.op9_simhash,
+}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op3_mix": mixing.ORACLE,
+}
