@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, extract, mixing, quality, sharding, simhash, surrogates, urls
 
 QUERIES = {
+    "op1_extract": extract.op1_extract,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix": mixing.op3_mix,
+    "op4_surrogates": surrogates.op4_surrogates,
     "op6_quality": quality.op6_quality,
     "op8_shard": sharding.op8_shard,
     "op9_simhash": simhash.op9_simhash,
+    "op10_urls": urls.op10_urls,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
