@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, mixing, quality, sharding, simhash, surrogates, urls
+from . import decontaminate, extract, mixing, quality, sharding, simhash, surrogates, toxicity, urls
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix": mixing.op3_mix,
     "op4_surrogates": surrogates.op4_surrogates,
     "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_shard": sharding.op8_shard,
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
