@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, mixing, quality, sharding, simhash, surrogates, toxicity, urls
+from . import decontaminate, extract, lm, mixing, quality, sharding, simhash, surrogates, toxicity, urls
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_mix": mixing.op3_mix,
     "op4_surrogates": surrogates.op4_surrogates,
+    "op5_score": lm.op5_score,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_shard": sharding.op8_shard,
