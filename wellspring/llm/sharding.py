@@ -148,7 +148,7 @@ def pack(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shard
 
 def _placed(base: DataFrame, shards: int | None, capacity: int | None = None) -> DataFrame:
     placed = assign(base, shards, capacity).withColumn("_spread", F.xxhash64("_doc", "size", "text_crc32"))
-    buckets = max(4, -(-base.count() // 100_000))
+    buckets = max(4, -(-base.count() // 20_000))
     return scratch.ranked(placed, "shard", "_spread", ["_doc", "size", "text_crc32"], "slot", buckets)
 
 
