@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SRC: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -18,7 +19,7 @@ def query(name: str, oracle: str | None = None):
             return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[name] = run
+        QUERIES[name], SRC[name] = run, f.__module__
         if oracle:
             ORACLES[name] = oracle
         return f
