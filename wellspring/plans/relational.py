@@ -102,7 +102,7 @@ def stream_dedupe(t):
     return S.first_seen(t("events")).select("user_id", "event_type")
 
 
-@query("stream_alerts", "WITH e AS (SELECT user_id, ts, value, event_id, CAST(ts AS DATE) AS day FROM events WHERE value > 90) SELECT user_id, CAST(day AS VARCHAR) AS day, epoch_us(min(ts)) AS first_us, count(*) AS n FROM e GROUP BY user_id, day")
+@query("stream_alerts", "WITH e AS (SELECT user_id, ts, value, event_id, CAST(ts AS DATE) AS day FROM events WHERE value > 90) SELECT user_id, CAST(day AS VARCHAR) AS day, min(ts) AS first_ts, count(*) AS n FROM e GROUP BY user_id, day")
 def stream_alerts(t):
     """At most one alert a user and day, with the alerts it stands for."""
-    return S.daily_alerts(t("events")).select("user_id", F.col("day").cast("string").alias("day"), F.unix_micros("first_ts").alias("first_us"), "n")
+    return S.daily_alerts(t("events")).select("user_id", F.col("day").cast("string").alias("day"), "first_ts", "n")

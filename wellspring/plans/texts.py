@@ -123,3 +123,50 @@ def domain_extract(t):
 @query("question_ids", "SELECT item_id, substr(md5(text), 1, 8) AS question_id, md5('mini:' || text) AS cache_key FROM benchmark")
 def question_ids(t):
     return t("benchmark").select("item_id", X.question_id(F.col("text")).alias("question_id"), X.cache_key("mini", F.col("text")).alias("cache_key"))
+
+
+@query("chunk_documents")
+def chunk_documents(t):
+    """Chunks of every document; a fold over each text, checked in tests against invariants."""
+    from ..operators import chunking as C
+
+    return C.chunk(t("documents")).select("doc_id", "chunk_index", "chunk_type", "token_count", "content_hash")
+
+
+_PARA = r"p AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"
+_W = r"string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' ')"
+
+
+@query("chunk_overlap", rf"""WITH {_PARA}, l AS (SELECT doc_id, i, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM p), c AS (SELECT *, array_to_string({_W.format('prev')}[greatest(len({_W.format('prev')}) - 4, 1):], ' ') || ' ' || x AS both_ FROM l)
+SELECT doc_id, CAST(i AS BIGINT) AS i, md5(CASE WHEN prev IS NOT NULL AND floor(len(regexp_extract_all(both_, '[^\s]+')) * 13 / 10.0) <= 72 THEN both_ ELSE x END) AS content FROM c""")
+def chunk_overlap(t):
+    """Lines as chunks, each led by the last 5 words of the one before where both stay within 72 tokens."""
+    from ..operators import chunking as C
+
+    p = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    prev = F.lag("x").over(Window.partitionBy("doc_id").orderBy("i"))
+    p = p.withColumn("prev", prev).withColumn("c", C.with_overlap(F.col("prev"), F.col("x"), 5, 60))
+    return p.select("doc_id", F.col("i").cast("bigint").alias("i"), F.md5(F.col("c").cast("binary")).alias("content"))
+
+
+@query("heading_asof", f"WITH {_PARA}, h AS (SELECT doc_id, i, x FROM p WHERE length(x) < 40) SELECT p.doc_id, CAST(p.i AS BIGINT) AS i, (SELECT arg_max(h.x, h.i) FROM h WHERE h.doc_id = p.doc_id AND h.i < p.i) AS heading FROM p")
+def heading_asof(t):
+    """Each line with the last short line before it: an as-of join as a running window."""
+    p = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return p.select("doc_id", F.col("i").cast("bigint").alias("i"), F.last(F.when(F.length("x") < 40, F.col("x")), ignorenulls=True).over(w).alias("heading"))
+
+
+_MARKS = r"(?i)\bwe\s+(?:found|tested|built|measured)\b|\bour\s+(?:team|data|research|approach)\b|\d{1,3}%\s+of|(?:per|/)\s*(?:month|year|user)|\bcase\s+stud|\btoken\s*=|\b\d+\.\d+\.\d+"
+_FLUFF = ["world-class", "cutting-edge", "state-of-the-art", "seamless integration", "easy to use", "data-driven", "learn more", "best-in-class", "trusted by thousands", "all-in-one"]
+
+
+@query("content_uniqueness", rf"""WITH {_PARA}, a AS (SELECT doc_id, avg(CAST(regexp_matches(x, '{_MARKS}') AS INT)) AS share, sum(len(regexp_extract_all(x, '{_MARKS}'))) AS marks, sum({' + '.join(f"CAST(contains(lower(x), '{f}') AS INT)" for f in _FLUFF)}) AS fluff, sum(greatest(1, len(regexp_extract_all(x, '[.!?](?:\s|$)')))) AS sentences FROM p WHERE x <> '' GROUP BY doc_id)
+SELECT doc_id, round(0.40 * share + 0.25 * least(1.0, marks / 20) + 0.35 * greatest(0.0, 1 - fluff / sentences), 6) AS uniqueness FROM a""")
+def content_uniqueness(t):
+    """0.40 share of paragraphs with own evidence, 0.25 first-party marks (of 20), 0.35 without stock phrases."""
+    p = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).filter("x <> ''")
+    fluff = sum((F.contains(F.lower("x"), F.lit(f)).cast("int") for f in _FLUFF), F.lit(0))
+    a = p.groupBy("doc_id").agg(F.avg(F.col("x").rlike(_MARKS).cast("int")).alias("share"), F.sum(F.regexp_count("x", F.lit(_MARKS))).alias("marks"), F.sum(fluff).alias("fluff"), F.sum(F.greatest(F.lit(1), F.regexp_count("x", F.lit(r"[.!?](?:\s|$)")))).alias("sentences"))
+    s = 0.40 * F.col("share") + 0.25 * F.least(F.lit(1.0), F.col("marks") / 20) + 0.35 * F.greatest(F.lit(0.0), 1 - F.col("fluff") / F.col("sentences"))
+    return a.select("doc_id", F.round(s, 6).alias("uniqueness"))
