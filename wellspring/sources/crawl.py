@@ -54,7 +54,7 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (site, path) -> with allowed: the longest matching rule decides, else allowed; * matches anything."""
     r = rules.select(F.col("site").alias("_s"), "allow", F.col("path").alias("_p"))
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace("_p", r"([.?+()\[\]{}|^\\])", r"\\$1"), r"\*", ".*"))
-    hit = urls.join(r, (F.col("site") == F.col("_s")) & F.expr("true"), "left").withColumn("_hit", F.col("path").rlike(pattern))
+    hit = urls.join(r, (F.col("site") == F.col("_s")) & F.expr("true"), "left").withColumn("_hit", F.rlike(F.col("path"), pattern))
     best = F.max_by(F.when(F.col("_hit"), F.col("allow")), F.when(F.col("_hit"), F.length("_p")))
     return hit.groupBy("site", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
 
