@@ -178,7 +178,7 @@ def report(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
                         i = str(q.item_ids[item])
                         found[k][i] = max(found[k].get(i, (0, 0, 0)), m)
             if len(parts) > 1:
-                b._value = None  # one block at a time; read again from its local file for the next shard
+                b.__dict__.pop("_value", None)  # one block at a time; read again from its local file for the next shard
         rows = []
         for d, mask, hit in zip(docs_, masks, found):
             n, items = int(mask.sum()), sorted(hit)

@@ -49,9 +49,9 @@ EMAIL = rf"(?<![{L}{D}._%+\-])[{L}{D}._%+\-]++@[{L}{D}\-]+(?:\.[{L}{D}\-]+)*\.{L
 SECRET = r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd|pwd)\s*[=:]\s*[\"']?[A-Z0-9_\-/+]{16,})"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?!\.?[0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
 NATIONAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 FIRST = "|".join(FEMALE + MALE + FEMALE_CYR + MALE_CYR)
 TITLE = "|".join(TITLES_F + TITLES_M + TITLES_N)
 SURNAME = rf"\p{{Lu}}{L}*\p{{Ll}}{L}*"
