@@ -33,7 +33,7 @@ from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
 MARGIN, MIN_DF, MAX_TERMS = 2.0, 4, 1024
-MAX_EXAMPLES, BLOCK, K = 8192, 64, 15
+MAX_EXAMPLES, BLOCK, K = 8192, 512, 15
 LABEL_ROWS = 1_000_000
 
 
@@ -102,21 +102,24 @@ class Index:
         if not own:
             return np.zeros(0, dtype=int), np.zeros(0)
         bound = sum(qw * top for qw, _, _, _, top in own)
-        best: list[tuple[float, int]] = []
+        at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
+            least = best[-1] if len(best) == k else 0.0
+            if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
             s = np.zeros(BLOCK)
             for qw, e, w, cut, _ in own:
                 a, z = cut[b], cut[b + 1]
                 s[e[a:z] - b * BLOCK] += qw * w[a:z]
             s = np.round(s, 9)
-            hit = np.flatnonzero(s > 0)
-            if len(best) == k:
-                hit = hit[s[hit] >= -best[-1][0]]
+            if but // BLOCK == b:
+                s[but % BLOCK] = 0.0
+            hit = np.flatnonzero((s > 0) & (s >= least))
             if len(hit):
-                best = sorted(best + [(-s[i], int(i + b * BLOCK)) for i in hit if i + b * BLOCK != but])[:k]
-        return np.array([i for _, i in best], dtype=int), np.array([-s for s, _ in best])
+                at, best = np.concatenate([at, hit + b * BLOCK]), np.concatenate([best, s[hit]])
+                first = np.lexsort((at, -best))[:k]
+                at, best = at[first], best[first]
+        return at, best
 
     def vote(self, q: dict[int, float], k: int, but: int = -1) -> tuple[float | None, np.ndarray]:
         """The weighted share of label 1 among the nearest, shrunk by one even half vote; their indexes."""
@@ -186,6 +189,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, margin:
     none = known.filter(F.size("idx") == 0).agg(F.sum("y"), F.count(F.lit(1))).first()
     prior = ((none[0] or 0) + 0.5) / (none[1] + 1) if all_ else 0.0
     rows = known.filter(F.size("idx") > 0).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()
+    rows.sort(key=lambda r: (max(zip(r["tf"], r["idx"]))[1], r["doc_id"]))  # like by like, for sharp block bounds
     index = Index([unit(r["idx"], r["tf"], idf) for r in rows], [r["doc_id"] for r in rows], [r["y"] for r in rows])
     own = [(index.vote(unit(r["idx"], r["tf"], idf), k, e)[0], r["y"]) for e, r in enumerate(rows)]
     own = [(v, t) for v, t in own if v is not None]
@@ -209,7 +213,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, margin:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "neighbours"])
 
     held = (remainder(F.col("doc_id"), mod) == 0).alias("held_out")
-    return vec.select("doc_id", held, "idx", "tf").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, neighbours array<bigint>")
+    parts = max(spark.sparkContext.defaultParallelism, -(-vec.count() // 10_000))
+    return vec.select("doc_id", held, "idx", "tf").repartition(parts).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, neighbours array<bigint>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
