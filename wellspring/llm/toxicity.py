@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
-MARGIN, MIN_DF, MAX_TERMS = 2.0, 4, 1024
-MAX_EXAMPLES, BLOCK, K = 8192, 512, 15
+MARGIN, MIN_SHARE, MIN_DF, MAX_TERMS = 2.0, 0.8, 4, 1024
+MAX_EXAMPLES, BLOCK, K = 8192, 2048, 15
 LABEL_ROWS = 1_000_000
 
 
@@ -69,13 +69,14 @@ def choose_terms(counts: DataFrame, n: int, pos: int, margin: float = MARGIN) ->
     """term -> idf, for at most MAX_TERMS terms that label 1 holds more often than chance explains.
 
     By Chernoff's bound, a term of df documents has a share r of label 1 with probability at most
-    exp(-df * KL(r, p)); it must be below exp(-margin) / terms, so that hardly any term comes in by luck.
+    exp(-df * KL(r, p)); it must be below exp(-margin) / terms, so that hardly any term comes in by luck,
+    and r at least MIN_SHARE, as terms that copied texts tie loosely to a label tell little.
     """
     own = scratch.table(counts.withColumn("df", F.col("pos") + F.col("neg")).filter(F.col("df") >= MIN_DF), "terms")
     p, r = pos / n, F.col("pos") / F.col("df")
     rest = F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - p))).otherwise(0.0)
     kl = F.when(r > p, F.col("df") * (r * F.log(r / p) + rest)).otherwise(0.0)
-    top = own.filter(kl >= math.log(max(own.count(), 1)) + margin).orderBy(kl.desc(), "term").limit(MAX_TERMS)
+    top = own.filter(r >= MIN_SHARE).filter(kl >= math.log(max(own.count(), 1)) + margin).orderBy(kl.desc(), "term").limit(MAX_TERMS)
     return {x["term"]: math.log((1 + n) / (1 + x["df"])) + 1 for x in top.collect()}
 
 
