@@ -55,9 +55,9 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]
 FIRST = "|".join(FEMALE + MALE + FEMALE_CYR + MALE_CYR)
 TITLE = "|".join(TITLES_F + TITLES_M + TITLES_N)
 SURNAME = rf"\p{{Lu}}{L}*\p{{Ll}}{L}*"
-NAME = rf"(?<![{L}{D}])(?:(?:{TITLE})\.? (?:(?:{FIRST}) )?{SURNAME}|(?:{FIRST}) {SURNAME})(?![{L}{D}])"
+NAME = rf"(?<![{L}{D}])(?=\p{{Lu}})(?:(?:{TITLE})\.? (?:(?:{FIRST}) )?{SURNAME}|(?:{FIRST}) {SURNAME})(?![{L}{D}])"
 ANY = "|".join([EMAIL, SECRET, IP, PHONE, NATIONAL, CARD, NAME])
-MAYBE = rf"[0-9@=:]|(?:{TITLE})\.? \p{{Lu}}|(?:{FIRST}) \p{{Lu}}"
+MAYBE = rf"[0-9@=:]|(?=\p{{Lu}})(?:(?:{TITLE})\.?|{FIRST}) \p{{Lu}}"
 KINDS = ["email", "secret", "ip", "phone", "national", "card", "name"]
 
 
