@@ -122,3 +122,49 @@ def two_run_delta(t):
     l = sites(t).select("site", "total").withColumn("prev", F.lag("total").over(Window.orderBy("site"))).filter("prev IS NOT NULL")  # noqa: E741
     d = F.col("total") - F.col("prev")
     return l.select("site", F.round(d, 4).alias("delta"), F.when(d >= 0.5, "improved").when(d <= -0.5, "declined").otherwise("stable").alias("direction"))
+
+
+_NOUNS = "list_filter(list_distinct(list_concat(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]*[A-Z]\\w*\\b'), lambda x: length(x) > 2))), lambda x: NOT contains(lower(x), 'acme'))"
+
+
+@query("competitor_counts", f"SELECT conv_id, turn, CAST(len({_NOUNS}) AS BIGINT) AS competitors FROM conversations")
+def competitor_counts(t):
+    from ..functions import entities as E
+
+    return t("conversations").select("conv_id", "turn", E.competitors(F.col("text"), "Acme", "acme.com").alias("competitors"))
+
+
+@query("date_parse", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS parsed FROM orders")
+def date_parse(t):
+    """Dates written in three formats by key are read back by the first format that fits."""
+    from ..functions import entities as E
+
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    s = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "yyyy/MM/dd"))
+    return t("orders").select("o_orderkey", F.date_format(E.parse_date(s), "yyyy-MM-dd").alias("parsed"))
+
+
+@query("hashed_embeddings")
+def hashed_embeddings(t):
+    """Reproducible stand-in vectors for texts: each distinct text is embedded once."""
+    from ..functions import entities as E
+
+    d = t("documents").select("doc_id", "text", X.content_hash(F.col("text")).alias("h"))
+    once = E.hashed_vectors(d.groupBy("h").agg(F.min_by("text", "doc_id").alias("text")), "h", "text")
+    return d.select("doc_id", "h").join(once, "h").select("doc_id", "embedding")
+
+
+_STRUCT = {"heading": 25, "answer": 25, "faq": 20, "links": 15, "formats": 15}
+
+
+@query("structure_pillar")
+def structure_pillar(t):
+    """Page structure of heading, answer-first, question, link and format scores; checked by its parts' oracles."""
+    from . import pages as P
+
+    h = P.heading_audit(t).select("page_id", F.col("score").alias("heading"), F.when(F.col("faq"), 100).when(F.col("questions") > 0, 50).otherwise(0).alias("faq"))
+    a = P.answer_first(t).select("page_id", F.col("score").alias("answer"))
+    li, fo = P.link_audit(t).select("page_id", F.col("score").alias("links")), P.extractable_formats(t).select("page_id", F.col("score").alias("formats"))
+    j = t("pages").select("page_id").join(h, "page_id", "left").join(a, "page_id", "left").join(li, "page_id", "left").join(fo, "page_id", "left")
+    total = sum((F.coalesce(F.col(k), F.lit(0)) * w / 100 for k, w in _STRUCT.items()), F.lit(0.0))
+    return j.select("page_id", F.round(total, 4).alias("structure"))
