@@ -37,12 +37,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, min_score: float = 0.
     cut down by a semi join with the queries' words before any shuffle.
     """
     q = queries.select(F.col(qid).alias("_q"), F.explode(tokenize(F.col(qtext))).alias("w")).groupBy("_q", "w").agg(F.count(F.lit(1)).alias("qtf"))
-    words = bounded(q.select("w").distinct(), BROADCAST_TOKENS)
+    few = q.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS  # then so are its words, and its join with df
+    hint = F.broadcast if few else (lambda d: d)
+    words = hint(q.select("w").distinct())
     d = docs.select(F.col(id_col).alias("_d"), tokenize(F.col(text_col)).alias("t")).withColumn("dl", F.size("t"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     post = d.select("_d", "dl", F.explode("t").alias("w")).join(words, "w", "left_semi").groupBy("_d", "dl", "w").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    scored = post.join(bounded(q.join(df, "w"), BROADCAST_TOKENS), "w").join(F.broadcast(stats))
+    scored = post.join(hint(q.join(df, "w")), "w").join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     term = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     s = scored.groupBy("_q", "_d").agg(F.round(F.sum(term), 6).alias("score"))
