@@ -185,10 +185,10 @@ def links(reps: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataF
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def classes(base: DataFrame, bits: int = BITS, blocks: int | None = None) -> DataFrame:
-    """base (doc_id, fp, ...), stable when read twice -> with component_id."""
+def classes(base: DataFrame, bits: int = BITS, blocks: int | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """base (doc_id, fp, ...), stable when read twice -> with component_id; edges (a, b) of fp stand in for links()."""
     reps = scratch.table(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    roots = scratch.table(graph.components(links(reps.select("fp"), bits, blocks)), "roots")
+    roots = scratch.table(graph.components(links(reps.select("fp"), bits, blocks) if edges is None else edges), "roots")
     near = reps.join(roots, F.col("fp") == F.col("node"))
     ids = near.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = scratch.table(roots.join(ids, "root").select(F.col("node").alias("_fp"), F.col("component_id").alias("_moved")), "ids")
@@ -201,14 +201,24 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """docs with one row of every component of near copies; columns unchanged."""
+def dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, jaccard: bool = False) -> DataFrame:
+    """docs with one row of every component of near copies; columns unchanged.
+
+    With ``jaccard`` near copies are texts of exact five-word Jaccard similarity 0.8 or more, whatever their fingerprints.
+    """
     cols = docs.columns
     keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)]
     docs = docs.select(*keep)
     doc, text = f"_c{cols.index(doc_col)}", f"_c{cols.index(text_col)}"
-    base = scratch.table(with_fingerprint(docs, [F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_h")], F.col(text), shingle), "fp")
-    c = classes(base, bits)
+    keys = [F.col(doc).alias("doc_id"), F.xxhash64(text).alias("_h")]
+    if jaccard:
+        from . import jaccard as sets
+
+        base = scratch.table(sets.with_signature(docs, keys, F.col(text)), "fp")
+        c = classes(base, edges=sets.links(base, docs.select(F.col(text).alias("text"))))
+    else:
+        base = scratch.table(with_fingerprint(docs, keys, F.col(text), shingle), "fp")
+        c = classes(base, bits)
     # the row that stays: the least doc_id, then the least text hash; equal rows are told apart by a count
     pick = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_h"))
     root = F.struct(F.col("component_id").isNull(), F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
