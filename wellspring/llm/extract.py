@@ -4,8 +4,9 @@ Every page is parsed into an element tree. Elements that are boilerplate by mean
 headers and footers, sidebars, notices, adverts, forms, scripts, comments) go by tag, role and class.
 What remains is compared within its host: block subtrees are hashed, Spark counts for each host in how
 many distinct surroundings (hash of the parent) a subtree occurs, and subtrees recurring in at least
-``SHARE`` of the host's pages (and ``MIN_CONTEXTS``) are deleted as site template. Counting distinct
-surroundings rather than pages keeps the paragraphs of an article that is merely copied many times.
+``SHARE`` of the host's distinct page contents (and ``MIN_CONTEXTS``), or in ``MANY`` surroundings whatever
+the share, are deleted as site template. Counting distinct surroundings rather than pages keeps the
+paragraphs of an article that is merely copied many times; distinct contents are the same unit.
 Headings, articles and main elements are never template by themselves.
 
 Defined results: null, empty or text-free html gives an empty string; broken markup is closed at
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from . import scratch, urls
 
-MIN_CONTEXTS, SHARE = 5, 0.3
+MIN_CONTEXTS, SHARE, MANY = 5, 0.3, 1000
 
 # Element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -265,23 +266,26 @@ def text_of(roots: list[Node], template: set[int]) -> str:
     return "\n".join(lines)
 
 
-def templates(pages: DataFrame, host: str, html_col: str, min_contexts: int = MIN_CONTEXTS, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, host: str, html_col: str, min_contexts: int = MIN_CONTEXTS, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(host, template array<bigint>): hashes of subtrees recurring across many pages of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, hs, ps = [], [], []
             for h, page in zip(b.column(0).to_pylist(), b.column(1)):
-                for x, p in candidates(content(page.as_py())):
+                roots = content(page.as_py())
+                for x, p in candidates(roots):
                     hosts.append(h), hs.append(x), ps.append(p)
+                # the page's content itself, with no h: one such row for every distinct content
+                hosts.append(h), hs.append(None), ps.append(xxhash.xxh64_intdigest(" ".join(str(r.hash) for r in roots)) - 2**63)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hs, pa.int64()), pa.array(ps, pa.int64())], names=["host", "h", "p"])
 
     own = pages.filter(F.col(host) != "").select(F.col(host).alias("host"), F.col(html_col).alias("html"))
     subtrees = own.mapInArrow(run, "host string, h bigint, p bigint").groupBy("host", "h", "p").agg(F.lit(1).alias("one"))
-    contexts = subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_contexts)
-    counts = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "chost")
-    often = contexts.join(counts, F.col("host") == F.col("chost")).filter(F.col("n") >= share * F.col("pages"))
-    # at most (subtrees of a page) / share hashes a host
+    all_ = scratch.table(subtrees.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("h").isNull() | (F.col("n") >= min_contexts)), "contexts")
+    counts = all_.filter(F.col("h").isNull()).select(F.col("host").alias("chost"), F.col("n").alias("pages"))
+    often = all_.filter(F.col("h").isNotNull()).join(counts, F.col("host") == F.col("chost")).filter((F.col("n") >= share * F.col("pages")) | (F.col("n") >= many))
+    # at most (subtrees of a page) / share hashes a host, and those met in `many` surroundings
     return scratch.table(often.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")), "templates")
 
 
