@@ -13,8 +13,8 @@ of the previous subword, keys are embeddings of what stood before earlier subwor
 weights with a bias by distance vote for those subwords, and the sentinel's weight goes to a spelling
 model (interpolated counts of subwords by the two before within the word, from the vocabulary of all
 training texts). Word ends come from the spelling model. Embeddings, distance bias and sentinel are
-trained with Adam on a fixed share of the training documents in every partition and averaged by tokens,
-so training grows with the corpus. Texts are scored in windows of ``WINDOW`` subwords moved by
+trained with Adam on every training document, one bounded buffer at a time in each partition, and averaged
+by subwords. Texts are scored in windows of ``WINDOW`` subwords moved by
 ``STRIDE``: each subword is scored once, with at least WINDOW - STRIDE subwords before it where the text has them.
 
 Counts of the ``HEAD`` most frequent words are broadcast (a fixed bound); other words meet their counts
@@ -44,7 +44,6 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 VOCAB, WINDOW, STRIDE, WIDTH = 1024, 32, 16, 16
 HEAD = 200_000
 LEAST, MOST = 0.002, 0.95  # of the gate
-SHARE = 40  # one document in so many trains the attention
 BUCKETS = 1 << 13
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 END = b" "  # cannot be a word
@@ -308,7 +307,7 @@ def spelling_counts(counts: DataFrame, path: str, vocab: int = VOCAB) -> tuple[n
 
 
 def fit(train_docs: DataFrame, speller, path: str) -> np.ndarray:
-    """Attention parameters: trained in every partition on one document in SHARE, averaged by subwords."""
+    """Attention parameters: trained in every partition on all its documents, averaged by subwords."""
     size = len(Attention().flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +334,7 @@ def fit(train_docs: DataFrame, speller, path: str) -> np.ndarray:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(model.flat.astype(np.float64) * seen), pa.array(np.full(size, seen, dtype=np.int64))], names=["i", "x", "n"])
 
-    pick = train_docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0).select("text")
-    got = pick.mapInArrow(run, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+    got = train_docs.select("text").mapInArrow(run, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
     flat = Attention().flat.copy()
     flat[got["i"].to_numpy()] = got["x"].to_numpy()
     return flat
