@@ -146,24 +146,64 @@ def test_lm_gradient():
         assert g[i] == pytest.approx((f(up) - f(down)) / 2e-2, abs=2e-3)
 
 
+def flat_index(own, labels, terms=30, block=16):
+    """Index of vectors given as dicts."""
+    e, t, w = zip(*((i, t, x) for i, v in enumerate(own) for t, x in v.items()))
+    return toxicity.Index(np.array(e), np.array(t), np.array(w), np.arange(len(own)), np.array(labels), terms, block)
+
+
 def test_nearest_is_exact():
     rng = random.Random(2)
     unit = lambda v: {k: x / math.sqrt(sum(y * y for y in v.values())) for k, x in v.items()}
     vec = lambda: unit({rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randrange(1, 6))})
     own = [vec() for _ in range(400)]
-    index = toxicity.Index(own, list(range(400)), [rng.randrange(2) for _ in own])
+    own += own[:40]  # ties
+    index = flat_index(own, [rng.randrange(2) for _ in own])
     for _ in range(60):
         q = vec()
         all_ = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(own))
-        want = [(i, -s) for s, i in all_[:7] if s < 0]
-        got = list(zip(*map(lambda a: a.tolist(), index.nearest(q, 7))))
-        assert [i for i, _ in got] == [i for i, _ in want]
-
-
-def test_isotonic_is_monotone():
-    x, y = np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0])
-    at, value = toxicity.isotonic(x, y)
-    assert value == sorted(value) and at == sorted(at)
+        want = [i for s, i in all_[:7] if s < 0]
+        assert index.nearest(np.array(sorted(q)), np.array([q[t] for t in sorted(q)]), 7)[0].tolist() == want
+
+
+def test_logistic_follows_votes():
+    v = np.array([0.1, 0.2, 0.2, 0.5, 0.9, 0.95] * 20)
+    slope, level = toxicity.logistic(v, (v > 0.4).astype(float))
+    assert slope > 0 and 1 / (1 + np.exp(-(slope * 0.9 + level))) > 0.8 and 1 / (1 + np.exp(-(slope * 0.1 + level))) < 0.2
+    assert toxicity.logistic(v, (v < 0.4).astype(float))[0] == 0.0
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Whole query at sf0.001: every text's neighbours and score from a full scan of all terms."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    tf = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in rows.items()}
+    own = [i for i in sorted(rows) if i in y and tf[i]]
+    pos, neg = (Counter(t for i in rows if i in y and y[i] == v for t in tf[i]) for v in (1, 0))
+    n_pos, n_neg = (sum(y[i] == v for i in rows if i in y) for v in (1, 0))
+    terms = {t for i in own for t in tf[i]}
+    w = {t: float(toxicity.weights_of(np.array([pos[t]]), np.array([neg[t]]), n_pos, n_neg)[0]) for t in terms}
+
+    def unit(i):
+        v = {t: (1 + math.log(f)) * w[t] for t, f in tf[i].items() if t in w}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vec = {i: unit(i) for i in rows}
+    got = registry.QUERIES["op7_toxicity"](spark, SF).collect()
+    assert len(got) == len(rows)
+    by_vote = []
+    for r in got:
+        cos = {e: sum(x * vec[e].get(t, 0) for t, x in vec[r.doc_id].items()) for e in own}
+        near = sorted(cos, key=lambda e: -cos[e])[:15]
+        assert len(r.neighbours) == sum(cos[e] > 0 for e in near)
+        assert np.allclose([cos[e] for e in r.neighbours], [cos[e] for e in near if cos[e] > 0], atol=1e-6)
+        assert [cos[e] for e in r.neighbours] == sorted((cos[e] for e in r.neighbours), reverse=True) or np.all(np.diff([cos[e] for e in r.neighbours]) < 1e-6)
+        s = np.array([cos[e] for e in r.neighbours])
+        by_vote.append((float(s @ [y[e] for e in r.neighbours]) / max(s.sum(), 1e-9), r.score))
+    by_vote.sort()
+    assert np.corrcoef(*zip(*by_vote))[0, 1] > 0.8
 
 
 def test_toxicity_held_out(spark):

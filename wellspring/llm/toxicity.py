@@ -1,25 +1,28 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
-
-Term statistics come from every labelled training document. The terms of the vector space are those
-tied to the label beyond chance (``choose_terms``; at most ``MAX_TERMS``): with every term kept, the cosine of a
-long text is ruled by words that say nothing about the label. The index holds at most
-``MAX_EXAMPLES`` training documents with a vector, taken in seeded hash order (a documented bound on
-labelled rows). It is an inverted index cut into blocks of ``BLOCK`` examples with each term's largest
-weight per block: blocks are searched in falling order of their bound until the k-th best cosine
-cannot be beaten, so the neighbours are exactly those of a full scan (ties: lower example first).
-
-Votes are weighted by squared cosine (nearer examples count more), then calibrated by isotonic
-regression of the examples' own leave-one-out votes. Texts without any of the terms get the share of
-label 1 among such training texts. The neighbours' ids are the evidence.
-
-Defined results: a null or empty text has no vector; a null doc_id is scored and never an example;
-labels without a document or with a null label are unused, repeated ones count once by their largest;
-no usable labels give every text 0.0; repeated rows score alike; an empty table gives an empty result.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted lists.
+
+The index holds at most ``MAX_EXAMPLES`` labelled training documents of at most ``MAX_CHARS`` characters in
+all, taken in seeded hash order (a documented bound on labelled rows), and every term of theirs. A
+term's weight is the difference of its inverse document frequencies in the two classes (delta TF-IDF), smoothed
+towards none and never 0; the document frequencies come from every labelled training document. Under plain
+idf the cosine of a long text is ruled by words that say nothing about the label.
+
+The inverted lists are cut into blocks of ``BLOCK`` examples with each term's largest weight per block:
+blocks are searched in falling order of their bound until the k-th best cosine cannot be
+beaten, so the neighbours are exactly those of a full scan (ties: lower example first).
+
+Votes are weighted by cosine and calibrated by a logistic curve fitted to the examples' own
+leave-one-out votes. The neighbours' ids are the evidence. Texts are scored whole, in one scan.
+
+Defined results: a text without any index term (null and empty ones too) gets the share of label 1
+among training documents and no neighbours; a null doc_id is scored and never an example; labels without a
+document or with a null label are unused, repeated ones count once by their largest; of rows that share a labelled
+doc_id, the one of least text hash can be an example; no labels of either class give every text the
+share of label 1 (0.0 without labels); repeated rows score alike; an empty table gives an empty result; very long
+texts cost their distinct terms; other columns of docs are left out of the result, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,13 +35,13 @@ from pyspark.sql import functions as F
 from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
-MARGIN, MIN_SHARE, MIN_DF, MAX_TERMS = 2.0, 0.8, 4, 1024
-MAX_EXAMPLES, BLOCK, K = 8192, 2048, 15
+MAX_EXAMPLES, MAX_CHARS, BLOCK, K = 8192, 64_000_000, 128, 15
+SMOOTH, LEAST = 5.0, 0.01
 LABEL_ROWS = 1_000_000
 
 
-def terms_of(text: str | None) -> list[str]:
-    return TERM.findall(text.lower()) if text else []
+def term_freqs(text: str | None) -> Counter:
+    return Counter(TERM.findall(text.lower())) if text else Counter()
 
 
 def remainder(doc: Column, mod: int) -> Column:
@@ -51,12 +54,13 @@ def term_counts(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c[0] | c[1]), pa.string()), pa.array([c[1][t] for t in c[0] | c[1]], pa.int64()), pa.array([c[0][t] for t in c[0] | c[1]], pa.int64())], names=["term", "pos", "neg"])
+            own = list(c[0] | c[1])
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([c[1][t] for t in own], pa.int64()), pa.array([c[0][t] for t in own], pa.int64())], names=["term", "pos", "neg"])
 
         c = (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
-                c[y].update(set(terms_of(t.as_py())))
+                c[y].update(term_freqs(t.as_py()).keys())
                 if len(c[0]) + len(c[1]) > 400_000:
                     yield out(c)
                     c = (Counter(), Counter())
@@ -65,157 +69,200 @@ def term_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose_terms(counts: DataFrame, n: int, pos: int, margin: float = MARGIN) -> dict[str, float]:
-    """term -> idf, for at most MAX_TERMS terms that label 1 holds more often than chance explains.
+def weights_of(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Smoothed difference of the two class idfs of terms held by pos and neg documents."""
+    share = n_pos / (n_pos + n_neg)
+    ratio = (pos + SMOOTH * share) / (neg + SMOOTH * (1 - share)) * (n_neg / n_pos)
+    return np.maximum(np.abs(np.log(ratio)), LEAST)
 
-    By Chernoff's bound, a term of df documents has a share r of label 1 with probability at most
-    exp(-df * KL(r, p)); it must be below exp(-margin) / terms, so that hardly any term comes in by luck,
-    and r at least MIN_SHARE, as terms that copied texts tie loosely to a label tell little.
-    """
-    own = scratch.table(counts.withColumn("df", F.col("pos") + F.col("neg")).filter(F.col("df") >= MIN_DF), "terms")
-    p, r = pos / n, F.col("pos") / F.col("df")
-    rest = F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - p))).otherwise(0.0)
-    kl = F.when(r > p, F.col("df") * (r * F.log(r / p) + rest)).otherwise(0.0)
-    top = own.filter(r >= MIN_SHARE).filter(kl >= math.log(max(own.count(), 1)) + margin).orderBy(kl.desc(), "term").limit(MAX_TERMS)
-    return {x["term"]: math.log((1 + n) / (1 + x["df"])) + 1 for x in top.collect()}
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the ranges lo[i]..hi[i] - 1 in order, and how many each has."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - n), n), n
 
 
 class Index:
-    """Unit vectors of examples in an inverted index with block maxima."""
-
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], labels: list[int]):
-        self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=np.float64)
-        self.n, self.blocks = len(ids), -(-len(ids) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((e, w))
-        self.lists = {}
-        for t, own in lists.items():
-            e, w = np.array([x[0] for x in own]), np.array([x[1] for x in own])
-            cut = np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK)
-            top = np.array([w[a:b].max() if b > a else 0.0 for a, b in zip(cut, cut[1:])])
-            self.lists[t] = (e, w, cut, top)
-
-    def nearest(self, q: dict[int, float], k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine (all, if fewer), best first, without example ``but``."""
-        own = [(qw, *self.lists[t]) for t, qw in sorted(q.items()) if t in self.lists]
-        if not own:
-            return np.zeros(0, dtype=int), np.zeros(0)
-        bound = sum(qw * top for qw, _, _, _, top in own)
+    """Unit vectors of examples in an inverted index with block maxima, as flat arrays.
+
+    Postings lie in order of term, then example; an entry is one term's run of postings in one block.
+    """
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_terms: int, block: int = BLOCK):
+        self.ids, self.labels, self.block = np.asarray(ids, dtype=np.int64), np.asarray(labels, dtype=np.float64), block
+        self.blocks = -(-len(ids) // block)
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
+        key = term[order].astype(np.int64) * max(self.blocks, 1) + self.example // block
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.at = np.append(first, len(key)).astype(np.int32)  # postings of entry e: at[e] to at[e + 1]
+        self.in_block = (key[first] % max(self.blocks, 1)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(n_terms + 1)).astype(np.int32)
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest positive cosine with weights q of terms (all, if fewer), best first, without example ``but``."""
+        e, n = ranges(self.entry[terms], self.entry[terms + 1])
         at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
+        if not len(e):
+            return at, best
+        qe, blk = np.repeat(q, n), self.in_block[e]
+        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        done, size = 0, 4
+        while done < len(order) and bound[order[done]] > 0:
             least = best[-1] if len(best) == k else 0.0
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
+            if bound[order[done]] < least - 1e-9:
                 break
-            s = np.zeros(BLOCK)
-            for qw, e, w, cut, _ in own:
-                a, z = cut[b], cut[b + 1]
-                s[e[a:z] - b * BLOCK] += qw * w[a:z]
-            s = np.round(s, 9)
-            if but // BLOCK == b:
-                s[but % BLOCK] = 0.0
-            hit = np.flatnonzero((s > 0) & (s >= least))
-            if len(hit):
-                at, best = np.concatenate([at, hit + b * BLOCK]), np.concatenate([best, s[hit]])
-                first = np.lexsort((at, -best))[:k]
-                at, best = at[first], best[first]
+            some = np.zeros(self.blocks, dtype=bool)
+            now = order[done : done + size]
+            some[now[bound[now] >= least - 1e-9]] = True
+            done, size = done + size, size * 2
+            use = some[blk]
+            p, m = ranges(self.at[e[use]], self.at[e[use] + 1])
+            s = np.round(np.bincount(self.example[p], np.repeat(qe[use], m) * self.weight[p], minlength=len(self.ids)), 9)
+            if but >= 0:
+                s[but] = 0.0
+            hit = np.flatnonzero(s > least) if least > 0 else np.flatnonzero(s)
+            if least > 0:  # equal cosines of earlier examples count too
+                hit = np.union1d(hit, np.flatnonzero(s == least))
+            at, best = np.concatenate([at, hit]), np.concatenate([best, s[hit]])
+            if len(best) > k:
+                cut = best >= np.partition(best, len(best) - k)[len(best) - k]
+                at, best = at[cut], best[cut]
+            first = np.lexsort((at, -best))[:k]
+            at, best = at[first], best[first]
         return at, best
 
-    def vote(self, q: dict[int, float], k: int, but: int = -1) -> tuple[float | None, np.ndarray]:
-        """The weighted share of label 1 among the nearest, shrunk by one even half vote; their indexes."""
-        i, s = self.nearest(q, k, but)
+    def vote(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[float | None, np.ndarray]:
+        """The cosine-weighted share of label 1 among the nearest, shrunk by a light vote at the mean; their indexes."""
+        i, s = self.nearest(terms, q, k, but)
         if not len(i):
             return None, i
-        w = s * s
-        return float((w @ self.labels[i] + 0.05 * self.labels.mean()) / (w.sum() + 0.05)), i
-
-
-def unit(idx: list[int], tf: list[int], idf: list[float]) -> dict[int, float]:
-    v = {i: (1 + math.log(f)) * idf[i] for i, f in zip(idx, tf)}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {i: x / norm for i, x in v.items()}
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Steps (least x, fitted value) of the isotonic regression of y on x, values within 0.01 to 0.99."""
-    stack: list[list[float]] = []
-    order = np.argsort(x, kind="stable")
-    i = 0
-    while i < len(order):
-        j = i
-        while j < len(order) and x[order[j]] == x[order[i]]:
-            j += 1
-        stack.append([float(x[order[i]]), float(y[order[i:j]].sum()), float(j - i)])
-        while len(stack) > 1 and stack[-2][1] / stack[-2][2] >= stack[-1][1] / stack[-1][2]:
-            a = stack.pop()
-            stack[-1][1] += a[1]
-            stack[-1][2] += a[2]
-        i = j
-    return [s[0] for s in stack], [min(0.99, max(0.01, (s[1] + 0.5) / (s[2] + 1))) for s in stack]
-
-
-def vectors(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, idx array<int>, tf array<int>) over the chosen terms. One scan."""
-    number = {t: i for i, t in enumerate(terms)}
-    b_number = docs.sparkSession.sparkContext.broadcast(number)  # at most MAX_TERMS
+        return float((s @ self.labels[i] + 0.05 * self.labels.mean()) / (s.sum() + 0.05)), i
+
+
+def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of one text over index terms, of length 1."""
+    w = (1 + np.log(tf)) * weight[terms]
+    return w / np.sqrt(w @ w) if len(w) else w
+
+
+def logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the probability of label 1 by vote, with Platt's softened targets."""
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    x, b = np.stack([v, np.ones_like(v)], axis=1), np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (t - p) - 1e-3 * b)
+        b += step / max(1.0, np.abs(step).max() / 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    if b[0] < 0:  # votes that tell nothing
+        return 0.0, float(np.log(t.mean() / (1 - t.mean())))
+    return float(b[0]), float(b[1])
+
+
+def examples_of(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> DataFrame:
+    """(doc_id, h, y): the labelled rows that the index holds; h is the text's hash."""
+    known = docs.filter(F.length("text") > 0).join(scratch.small(y, LABEL_ROWS), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "y")
+    one = known.groupBy("doc_id").agg(F.min(F.struct("h", "n", "y")).alias("x")).select("doc_id", "x.h", "x.n", "x.y")
+    own, size = [], 0
+    for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect():
+        if size + r["n"] <= max_chars:
+            own.append((r["doc_id"], r["h"], r["y"]))
+            size += r["n"]
+    return docs.sparkSession.createDataFrame(own, "doc_id bigint, h bigint, y int")
+
+
+def spelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, term, tf) of the chosen examples, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        num = b_number.value
         for b in batches:
-            idx, tf = [], []
-            for t in b.column(1):
-                c = Counter([num[w] for w in terms_of(t.as_py()) if w in num])
-                idx.append(sorted(c))
-                tf.append([c[i] for i in idx[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(idx, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=["doc_id", "idx", "tf"])
+            for i, y, t in zip(b.column(0), b.column(1), b.column(2)):
+                c = term_freqs(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(c), pa.int64()), pa.array([y.as_py()] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int32())], names=["doc_id", "y", "term", "tf"])
 
-    return docs.mapInArrow(run, "doc_id bigint, idx array<int>, tf array<int>")
+    own = docs.join(F.broadcast(chosen), "doc_id").filter(F.xxhash64("text") == F.col("h")).select("doc_id", "y", "text")
+    rows = own.mapInArrow(run, "doc_id bigint, y int, term string, tf int")
+    return rows.groupBy("doc_id", "term").agg(F.max("y").alias("y"), F.max("tf").alias("tf"))  # rows of one id and text are one example
 
 
-def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, margin: float = MARGIN, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[Index, list[str], np.ndarray, float]:
+    """The index, its terms and their weights, and the share of label 1 among training documents."""
+    train = docs.join(scratch.small(y, LABEL_ROWS), "doc_id").select("text", "y")
+    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)
+    none = np.zeros(0, dtype=np.int64)
+    if not pos or not neg:
+        return Index(none, none, none.astype(float), none, none, 0), [], np.zeros(0), pos / max(pos + neg, 1)
+    post = scratch.table(spelled(docs, examples_of(docs, y, max_examples, max_chars)), "examples")
+    # the driver gets the terms and postings of the index alone, bounded by max_chars
+    terms = term_counts(train).join(post.select("term").distinct(), "term", "left_semi").toArrow()
+    names = terms["term"].to_pylist()
+    order = np.argsort(np.array(names, dtype=object), kind="stable")
+    weight = weights_of(terms["pos"].to_numpy()[order], terms["neg"].to_numpy()[order], pos, neg)
+    names = [names[i] for i in order]
+    number = dict(zip(names, range(len(names))))
+    rows = post.select("doc_id", "y", "term", "tf").toArrow()
+    t = np.fromiter(map(number.__getitem__, rows["term"].to_pylist()), dtype=np.int64, count=rows.num_rows)
+    ids, e = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+    w = (1 + np.log(rows["tf"].to_numpy())) * weight[t]
+    w /= np.sqrt(np.bincount(e, w * w))[e]
+    labels = np.zeros(len(ids))
+    labels[e] = rows["y"].to_numpy()
+    lead = np.lexsort((t, -w, e))  # like by like, for sharp block bounds: examples in order of their weightiest term
+    lead_term = t[lead][np.flatnonzero(np.diff(e[lead], prepend=-1))]
+    rank = np.empty(len(ids), dtype=np.int64)
+    seat = np.lexsort((ids, lead_term))
+    rank[seat] = np.arange(len(ids))
+    return Index(rank[e], t, w, ids[seat], labels[seat], len(names)), names, weight, pos / (pos + neg)
+
+
+def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> DataFrame:
     """docs (doc_id bigint, text), labels (doc_id, y int) -> (doc_id, held_out, score, predicted, neighbours).
 
     Labels are learned only from rows whose remainder() is not 0.
     """
     spark = docs.sparkSession
-    y = scratch.table(labels.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != 0)).groupBy("doc_id").agg(F.max("y").alias("y")), "labels")
-    train = docs.join(scratch.small(y, LABEL_ROWS), "doc_id").select("text", "y")
-    n = {r["y"]: r["n"] for r in y.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_, pos = sum(n.values()), n.get(1, 0)
-    terms = choose_terms(term_counts(train), all_, pos, margin) if 0 < pos < all_ else {}
-    idf = list(terms.values())
-    vec = scratch.table(vectors(docs.select("doc_id", "text"), terms), "vectors")
-    known = vec.join(scratch.small(y, LABEL_ROWS), "doc_id")
-    none = known.filter(F.size("idx") == 0).agg(F.sum("y"), F.count(F.lit(1))).first()
-    prior = ((none[0] or 0) + 0.5) / (none[1] + 1) if all_ else 0.0
-    rows = known.filter(F.size("idx") > 0).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()
-    rows.sort(key=lambda r: (max(zip(r["tf"], r["idx"]))[1], r["doc_id"]))  # like by like, for sharp block bounds
-    index = Index([unit(r["idx"], r["tf"], idf) for r in rows], [r["doc_id"] for r in rows], [r["y"] for r in rows])
-    own = [(index.vote(unit(r["idx"], r["tf"], idf), k, e)[0], r["y"]) for e, r in enumerate(rows)]
-    own = [(v, t) for v, t in own if v is not None]
-    steps = isotonic(np.array([v for v, _ in own]), np.array([t for _, t in own], dtype=float)) if own else ([0.0], [prior])
-    b = spark.sparkContext.broadcast((index, idf, steps, prior))  # at most max_examples vectors
+    docs = docs.select("doc_id", "text")
+    y = labels.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != 0))
+    y = scratch.table(y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")), "labels")
+    index, names, weight, prior = build(docs, y, max_examples, max_chars)
+    b = spark.sparkContext.broadcast((index, names, weight))  # bounded by max_examples and max_chars
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = b.value[0]
+        order = np.argsort(index.example, kind="stable")
+        term = np.repeat(np.arange(len(index.entry) - 1), index.at[index.entry[1:]] - index.at[index.entry[:-1]])[order]
+        cut = np.searchsorted(index.example[order], np.arange(len(index.ids) + 1))
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            v = [index.vote(term[cut[i] : cut[i + 1]], index.weight[order[cut[i] : cut[i + 1]]], k, i)[0] for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.float64())], names=["i", "v"])
+
+    parts = spark.sparkContext.defaultParallelism
+    own = spark.range(0, len(index.ids), 1, parts).mapInArrow(own_votes, "i bigint, v double").filter("v is not null").toArrow()
+    slope, level = logistic(own["v"].to_numpy(), index.labels[own["i"].to_numpy()]) if own.num_rows else (0.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf, (at, value), prior = b.value
-        seen: dict = {}
+        index, names, weight = b.value
+        number = dict(zip(names, range(len(names))))
         for batch in batches:
             out, near = [], []
-            for idx, tf in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = (tuple(idx), tuple(tf))
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    v, i = index.vote(unit(idx, tf, idf), k) if idx else (None, [])
-                    seen[key] = (prior, []) if v is None else (value[max(0, int(np.searchsorted(at, v, "right")) - 1)], index.ids[i].tolist())
-                s, e = seen[key]
-                out.append(s), near.append(e)
+            for t in batch.column(2):
+                c = term_freqs(t.as_py())
+                hit = sorted((number[w], f) for w, f in c.items() if w in number)
+                x = np.array(hit, dtype=np.int64).reshape(-1, 2)
+                v, i = index.vote(x[:, 0], unit(x[:, 0], x[:, 1], weight), k)
+                out.append(prior if v is None else float(1 / (1 + np.exp(-(slope * v + level)))))
+                near.append(index.ids[i].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "neighbours"])
 
     held = (remainder(F.col("doc_id"), mod) == 0).alias("held_out")
-    parts = max(spark.sparkContext.defaultParallelism, -(-vec.count() // 10_000))
-    return vec.select("doc_id", held, "idx", "tf").repartition(parts).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, neighbours array<bigint>")
+    return docs.select("doc_id", held, "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, neighbours array<bigint>")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
