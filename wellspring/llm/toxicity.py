@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES, MAX_CHARS, BLOCK, K = 8192, 64_000_000, 128, 15
+MAX_EXAMPLES, MAX_CHARS, BLOCK, DENSE, K = 8192, 64_000_000, 128, 512, 15
 SMOOTH, LEAST = 5.0, 0.01
 LABEL_ROWS = 1_000_000
 
@@ -84,57 +85,82 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Unit vectors of examples in an inverted index with block maxima, as flat arrays.
+    """Unit vectors of examples: an inverted index with block maxima, and a dense table of the most frequent terms.
 
-    Postings lie in order of term, then example; an entry is one term's run of postings in one block.
+    Postings lie in order of term, then example; an entry is one term's run of postings in one block. The
+    ``dense`` terms of most postings stand in a table (examples x terms) instead of lists: their part of
+    a cosine is at most the product of the two vectors' lengths over these terms, which enters the block bounds and
+    picks the examples whose cosine is worked out in full.
     """
 
-    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_terms: int, block: int = BLOCK):
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_terms: int, block: int = BLOCK, dense: int = DENSE):
         self.ids, self.labels, self.block = np.asarray(ids, dtype=np.int64), np.asarray(labels, dtype=np.float64), block
-        self.blocks = -(-len(ids) // block)
+        n, self.blocks = len(ids), max(1, -(-len(ids) // block))
+        own = np.lexsort((term, example))
+        self.vector = (term[own].astype(np.int32), weight[own], np.searchsorted(example[own], np.arange(n + 1)))
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:dense]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        col = self.column[term]
+        self.table = np.zeros((n, len(often)), dtype=np.float32)
+        self.table[example[col >= 0], col[col >= 0]] = weight[col >= 0]
+        self.length = np.sqrt((self.table.astype(np.float64) ** 2).sum(axis=1)) + 1e-6
+        self.longest = np.maximum.reduceat(self.length, np.arange(0, n, block)) if n else np.zeros(1)
+        example, term, weight = example[col < 0], term[col < 0], weight[col < 0]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
-        key = term[order].astype(np.int64) * max(self.blocks, 1) + self.example // block
+        key = term[order].astype(np.int64) * self.blocks + self.example // block
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.at = np.append(first, len(key)).astype(np.int32)  # postings of entry e: at[e] to at[e + 1]
-        self.in_block = (key[first] % max(self.blocks, 1)).astype(np.int32)
+        self.in_block = (key[first] % self.blocks).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(n_terms + 1)).astype(np.int32)
+        self.entry = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine with weights q of terms (all, if fewer), best first, without example ``but``."""
-        e, n = ranges(self.entry[terms], self.entry[terms + 1])
+        """The k examples of greatest positive cosine (to six decimals) with weights q of terms (all, if fewer), best first, without example ``but``."""
         at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(e):
+        if not len(terms) or not len(self.ids):
             return at, best
-        qe, blk = np.repeat(q, n), self.in_block[e]
-        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks)
+        col = self.column[terms]
+        common, rare = col >= 0, col < 0
+        qd = np.zeros(self.table.shape[1], dtype=np.float32)
+        qd[col[common]] = q[common]
+        size = float(np.sqrt(q[common] @ q[common]))
+        e, n = ranges(self.entry[terms[rare]], self.entry[terms[rare] + 1])
+        qe, blk = np.repeat(q[rare], n), self.in_block[e]
+        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks) + size * self.longest + 1e-6
         order = np.argsort(-bound, kind="stable")
-        done, size = 0, 4
-        while done < len(order) and bound[order[done]] > 0:
+        for now in (order[:8], order[8:]):
             least = best[-1] if len(best) == k else 0.0
-            if bound[order[done]] < least - 1e-9:
+            now = now[bound[now] >= least]
+            if not len(now):
                 break
             some = np.zeros(self.blocks, dtype=bool)
-            now = order[done : done + size]
-            some[now[bound[now] >= least - 1e-9]] = True
-            done, size = done + size, size * 2
+            some[now] = True
             use = some[blk]
             p, m = ranges(self.at[e[use]], self.at[e[use] + 1])
-            s = np.round(np.bincount(self.example[p], np.repeat(qe[use], m) * self.weight[p], minlength=len(self.ids)), 9)
+            listed = np.bincount(self.example[p], np.repeat(qe[use], m) * self.weight[p], minlength=len(self.ids))
+            upper = listed + size * self.length
+            upper[~np.repeat(some, self.block)[: len(upper)]] = -1.0
             if but >= 0:
-                s[but] = 0.0
-            hit = np.flatnonzero(s > least) if least > 0 else np.flatnonzero(s)
-            if least > 0:  # equal cosines of earlier examples count too
-                hit = np.union1d(hit, np.flatnonzero(s == least))
-            at, best = np.concatenate([at, hit]), np.concatenate([best, s[hit]])
-            if len(best) > k:
-                cut = best >= np.partition(best, len(best) - k)[len(best) - k]
-                at, best = at[cut], best[cut]
-            first = np.lexsort((at, -best))[:k]
-            at, best = at[first], best[first]
+                upper[but] = -1.0
+            if len(best) < k and len(upper) > 4 * k:  # the likeliest first, for a good least
+                first = np.argpartition(upper, len(upper) - 2 * k)[-2 * k :]
+                at, best = self._best(at, best, first[upper[first] > 0], listed, qd, k)
+                upper[first] = -1.0
+                least = best[-1] if len(best) == k else 0.0
+            at, best = self._best(at, best, np.flatnonzero(upper >= max(least - 1e-6, 1e-12)), listed, qd, k)
         return at, best
 
+    def _best(self, at: np.ndarray, best: np.ndarray, new: np.ndarray, listed: np.ndarray, qd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        s = np.round(listed[new] + self.table[new] @ qd, 6)
+        at, best = np.concatenate([at, new[s > 0]]), np.concatenate([best, s[s > 0]])
+        if len(best) > k:
+            cut = best >= np.partition(best, len(best) - k)[len(best) - k]
+            at, best = at[cut], best[cut]
+        first = np.lexsort((at, -best))[:k]
+        return at[first], best[first]
+
     def vote(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[float | None, np.ndarray]:
         """The cosine-weighted share of label 1 among the nearest, shrunk by a light vote at the mean; their indexes."""
         i, s = self.nearest(terms, q, k, but)
@@ -149,6 +175,14 @@ def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w / np.sqrt(w @ w) if len(w) else w
 
 
+def numbered(c: Counter, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Index terms of a text in order, and how often each occurs."""
+    t = np.fromiter(map(number.get, c, repeat(-1)), dtype=np.int64, count=len(c))
+    tf = np.fromiter(c.values(), dtype=np.int64, count=len(c))
+    order = np.argsort(t, kind="stable")[int((t < 0).sum()) :]
+    return t[order], tf[order]
+
+
 def logistic(v: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(slope, intercept) of the probability of label 1 by vote, with Platt's softened targets."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -235,12 +269,9 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = b.value[0]
-        order = np.argsort(index.example, kind="stable")
-        term = np.repeat(np.arange(len(index.entry) - 1), index.at[index.entry[1:]] - index.at[index.entry[:-1]])[order]
-        cut = np.searchsorted(index.example[order], np.arange(len(index.ids) + 1))
+        term, weight, cut = index.vector
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            v = [index.vote(term[cut[i] : cut[i + 1]], index.weight[order[cut[i] : cut[i + 1]]], k, i)[0] for i in at]
+            v = [index.vote(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], k, i)[0] for i in batch.column(0).to_numpy()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.float64())], names=["i", "v"])
 
     parts = spark.sparkContext.defaultParallelism
@@ -253,10 +284,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
         for batch in batches:
             out, near = [], []
             for t in batch.column(2):
-                c = term_freqs(t.as_py())
-                hit = sorted((number[w], f) for w, f in c.items() if w in number)
-                x = np.array(hit, dtype=np.int64).reshape(-1, 2)
-                v, i = index.vote(x[:, 0], unit(x[:, 0], x[:, 1], weight), k)
+                terms, tf = numbered(term_freqs(t.as_py()), number)
+                v, i = index.vote(terms, unit(terms, tf, weight), k)
                 out.append(prior if v is None else float(1 / (1 + np.exp(-(slope * v + level)))))
                 near.append(index.ids[i].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "neighbours"])
