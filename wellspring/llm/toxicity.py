@@ -30,13 +30,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES, MAX_CHARS, BLOCK, DENSE, K = 8192, 64_000_000, 128, 512, 15
+MAX_EXAMPLES, MAX_CHARS, BLOCK, DENSE, GROUPS, K = 8192, 64_000_000, 128, 512, 32, 15
 SMOOTH, LEAST = 5.0, 0.01
 LABEL_ROWS = 1_000_000
 
@@ -89,8 +90,8 @@ class Index:
 
     Postings lie in order of term, then example; an entry is one term's run of postings in one block. The
     ``dense`` terms of most postings stand in a table (examples x terms) instead of lists: their part of
-    a cosine is at most the product of the two vectors' lengths over these terms, which enters the block bounds and
-    picks the examples whose cosine is worked out in full.
+    a cosine is at most the sum over ``GROUPS`` groups of these terms of the product of the two vectors' lengths
+    there, which enters the block bounds and picks the examples whose cosine is worked out in full.
     """
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_terms: int, block: int = BLOCK, dense: int = DENSE):
@@ -104,8 +105,12 @@ class Index:
         col = self.column[term]
         self.table = np.zeros((n, len(often)), dtype=np.float32)
         self.table[example[col >= 0], col[col >= 0]] = weight[col >= 0]
-        self.length = np.sqrt((self.table.astype(np.float64) ** 2).sum(axis=1)) + 1e-6
-        self.longest = np.maximum.reduceat(self.length, np.arange(0, n, block)) if n else np.zeros(1)
+        self.group = np.arange(len(often)) * GROUPS // max(len(often), 1)
+        length = np.zeros((self.blocks * block, GROUPS), dtype=np.float32)
+        for g in range(GROUPS):
+            length[:n, g] = np.sqrt(np.square(self.table[:, self.group == g]).sum(axis=1))
+        self.length = length.reshape(self.blocks, block, GROUPS)
+        self.longest = self.length.max(axis=1)
         example, term, weight = example[col < 0], term[col < 0], weight[col < 0]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
@@ -125,10 +130,10 @@ class Index:
         common, rare = col >= 0, col < 0
         qd = np.zeros(self.table.shape[1], dtype=np.float32)
         qd[col[common]] = q[common]
-        size = float(np.sqrt(q[common] @ q[common]))
+        size = np.sqrt(np.bincount(self.group, np.square(qd), minlength=GROUPS)).astype(np.float32)
         e, n = ranges(self.entry[terms[rare]], self.entry[terms[rare] + 1])
         qe, blk = np.repeat(q[rare], n), self.in_block[e]
-        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks) + size * self.longest + 1e-6
+        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks) + np.einsum("g,bg->b", size, self.longest) + 1e-5
         order = np.argsort(-bound, kind="stable")
         for now in (order[:8], order[8:]):
             least = best[-1] if len(best) == k else 0.0
@@ -140,20 +145,23 @@ class Index:
             use = some[blk]
             p, m = ranges(self.at[e[use]], self.at[e[use] + 1])
             listed = np.bincount(self.example[p], np.repeat(qe[use], m) * self.weight[p], minlength=len(self.ids))
-            upper = listed + size * self.length
-            upper[~np.repeat(some, self.block)[: len(upper)]] = -1.0
+            upper = np.full((self.blocks, self.block), -1.0)
+            upper[now] = np.einsum("bng,g->bn", self.length[now], size)
+            upper = upper.ravel()[: len(listed)]
+            upper[upper >= 0] += listed[upper >= 0]
             if but >= 0:
                 upper[but] = -1.0
-            if len(best) < k and len(upper) > 4 * k:  # the likeliest first, for a good least
-                first = np.argpartition(upper, len(upper) - 2 * k)[-2 * k :]
-                at, best = self._best(at, best, first[upper[first] > 0], listed, qd, k)
+            open_ = np.flatnonzero(upper > 0)
+            if len(best) < k and len(open_) > 4 * k:  # the likeliest first, for a good least
+                first = open_[np.argpartition(upper[open_], len(open_) - 2 * k)[-2 * k :]]
+                at, best = self._best(at, best, first, listed, qd, k)
                 upper[first] = -1.0
                 least = best[-1] if len(best) == k else 0.0
-            at, best = self._best(at, best, np.flatnonzero(upper >= max(least - 1e-6, 1e-12)), listed, qd, k)
+            at, best = self._best(at, best, open_[upper[open_] >= max(least - 1e-5, 1e-12)], listed, qd, k)
         return at, best
 
     def _best(self, at: np.ndarray, best: np.ndarray, new: np.ndarray, listed: np.ndarray, qd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        s = np.round(listed[new] + self.table[new] @ qd, 6)
+        s = np.round(listed[new] + np.einsum("nc,c->n", self.table[new], qd), 6)
         at, best = np.concatenate([at, new[s > 0]]), np.concatenate([best, s[s > 0]])
         if len(best) > k:
             cut = best >= np.partition(best, len(best) - k)[len(best) - k]
@@ -224,24 +232,20 @@ def spelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "term").agg(F.max("y").alias("y"), F.max("tf").alias("tf"))  # rows of one id and text are one example
 
 
-def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[Index, list[str], np.ndarray, float]:
+def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[Index, pa.Array, np.ndarray, float]:
     """The index, its terms and their weights, and the share of label 1 among training documents."""
     train = docs.join(scratch.small(y, LABEL_ROWS), "doc_id").select("text", "y")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     none = np.zeros(0, dtype=np.int64)
     if not pos or not neg:
-        return Index(none, none, none.astype(float), none, none, 0), [], np.zeros(0), pos / max(pos + neg, 1)
+        return Index(none, none, none.astype(float), none, none, 0), pa.array([], pa.string()), np.zeros(0), pos / max(pos + neg, 1)
     post = scratch.table(spelled(docs, examples_of(docs, y, max_examples, max_chars)), "examples")
     # the driver gets the terms and postings of the index alone, bounded by max_chars
-    terms = term_counts(train).join(post.select("term").distinct(), "term", "left_semi").toArrow()
-    names = terms["term"].to_pylist()
-    order = np.argsort(np.array(names, dtype=object), kind="stable")
-    weight = weights_of(terms["pos"].to_numpy()[order], terms["neg"].to_numpy()[order], pos, neg)
-    names = [names[i] for i in order]
-    number = dict(zip(names, range(len(names))))
+    terms = term_counts(train).join(post.select("term").distinct(), "term", "left_semi").toArrow().sort_by("term")
+    names, weight = terms["term"].combine_chunks(), weights_of(terms["pos"].to_numpy(), terms["neg"].to_numpy(), pos, neg)
     rows = post.select("doc_id", "y", "term", "tf").toArrow()
-    t = np.fromiter(map(number.__getitem__, rows["term"].to_pylist()), dtype=np.int64, count=rows.num_rows)
+    t = pc.index_in(rows["term"], names).to_numpy().astype(np.int64)
     ids, e = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
     w = (1 + np.log(rows["tf"].to_numpy())) * weight[t]
     w /= np.sqrt(np.bincount(e, w * w))[e]
@@ -280,7 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names, weight = b.value
-        number = dict(zip(names, range(len(names))))
+        number = dict(zip(names.to_pylist(), range(len(names))))
         for batch in batches:
             out, near = [], []
             for t in batch.column(2):
