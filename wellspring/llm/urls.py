@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DIM, EPOCHS, RATE, DECAY = 2048, 20, 1.0, 1e-3
+DIM, EPOCHS, RATE, DECAY = 2048, 40, 1.0, 1e-3
 HOLD = 5  # one labelled url in so many never trains
 THRESHOLD = 0.5
 
