@@ -163,6 +163,43 @@ def test_best_fit_decreasing_matches_naive():
         assert sharding.best_fit_decreasing(sizes, 60) == want
 
 
+def test_every_group_is_packed_as_naive_packing_does(spark):
+    """Bin loads over whole documents of sf0.01 equal those of naive best fit over all groups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size, rows = Counter(), docs.collect()
+    for r in rows:
+        size[r.text] += len((r.text or "").encode()) + 1
+    shards = 16
+    low = max(max(size.values()), -(-sum(size.values()) // shards))
+    own = sorted(size.values(), reverse=True)
+
+    def naive(capacity):
+        bins = []
+        for s in own:
+            fit = [(c, b) for b, c in enumerate(bins) if c >= s]
+            if not fit and len(bins) == shards:
+                return None
+            if not fit:
+                bins.append(max(capacity, s))
+                fit = [(bins[-1], len(bins) - 1)]
+            bins[min(fit)[1]] -= s
+        return [capacity - c for c in bins]
+
+    capacity = low
+    got = Counter()
+    for r in sharding.pack(docs).collect():
+        got[r.shard] += len((r.text or "").encode()) + 1
+    step = max(1, sum(size.values()) // shards >> 16)
+    while naive(capacity) is None:
+        capacity += max(1, step // 2)
+    assert len(got) == len(naive(capacity)) and max(got.values()) <= capacity + 2 * step
+    by_hand = sharding.best_fit_decreasing(own, capacity, shards)
+    load = [0] * shards
+    for s, b in zip(own, by_hand):
+        load[b] += s
+    assert load == naive(capacity)
+
+
 def test_sharding(spark, edge, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").union(edge)
     rows = sharding.pack(docs, shards=4).collect()

@@ -4,22 +4,31 @@ Groups (equal texts) in falling order of size each enter the fullest bin that st
 in a balanced search tree of remaining capacities; a bin is opened only when none fits. For a fixed
 number of shards the smallest capacity that packs into them is searched.
 
-The packing sees a bounded list however many groups exist: a group above 1/BUNDLES of all bytes is an
-item of its own (at most BUNDLES such), smaller ones are bundled by hash into BUNDLES indivisible
-bundles. A group larger than a shard's fair share is still one item and sets the capacity by itself.
-
-Defined results: a null text is a group of its own of size 1; empty texts are one group; repeated rows
-keep their rows and take a slot each; an empty table gives an empty result; ``pack`` keeps extra columns.
+The packing is exact over all groups, but the driver sees only (size, number of groups) classes: equal groups
+are interchangeable, and as many of a class as fit go into a bin at once, since a bin stays the tightest
+while it holds another. Classes of different sizes that total B bytes are at most sqrt(2 B), 16 bytes each:
+225 MB for 100 TB. The answer is a list of runs (size, rank within the class, bin), at most one per class
+and filled bin; each group finds its run by its rank, counted in Spark. A group larger than a shard's
+fair share is still one item and sets the capacity by itself.
+
+Defined results: a null text is a group of its own of size 1; empty texts are one group; very long texts are groups
+like any other; ties between equal groups fall by hash; repeated rows keep their rows and take a slot each; an empty
+table gives an empty result; ``pack`` keeps extra columns, but for those named shard or slot, which its own replace.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
-SHARDS, BUNDLES = 16, 4096
+SHARDS, RANKS = 16, 1024
+MAP_ROWS = 1_000_000
 
 
 class Capacities:
@@ -69,60 +78,89 @@ class Capacities:
         return [b[0], b[1], self._join(a, b[2]), b[3]]
 
 
+def best_fit_classes(sizes: list[int], counts: list[int], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Runs (class, groups, bin) of best-fit decreasing over sizes in falling order, bins numbered as opened.
+
+    None if more than ``most`` bins would be needed.
+    """
+    tree, bins, out = Capacities(), 0, []
+    for c, (size, left) in enumerate(zip(sizes, counts)):
+        while left:
+            fit = tree.tightest(size)
+            if fit is None:
+                if bins == most:
+                    return None
+                fit, bins = (max(capacity, size), bins), bins + 1
+            else:
+                tree.remove(fit)
+            n = min(left, fit[0] // size)
+            out.append((c, n, fit[1]))
+            left -= n
+            tree.insert((fit[0] - n * size, fit[1]))
+    return out
+
+
 def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each size, bins numbered as opened; None if more than ``most`` bins would be needed."""
-    tree, bins, out = Capacities(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fit = tree.tightest(sizes[i])
-        if fit is None:
-            if bins == most:
-                return None
-            fit, bins = (max(capacity, sizes[i]), bins), bins + 1
-        else:
-            tree.remove(fit)
-        out[i] = fit[1]
-        tree.insert((fit[0] - sizes[i], fit[1]))
+    """Bin of each size by best_fit_classes; equal sizes in their given order."""
+    count = Counter(sizes)
+    own = sorted(count, reverse=True)
+    runs = best_fit_classes(own, [count[x] for x in own], capacity, most)
+    if runs is None:
+        return None
+    order, out, at = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), [0] * len(sizes), 0
+    for _, n, b in runs:
+        for i in order[at : at + n]:
+            out[i] = b
+        at += n
     return out
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """Best-fit-decreasing at the smallest capacity (to 1/65536 of a fair share) that needs at most ``shards`` bins."""
+def pack_classes(sizes: list[int], counts: list[int], shards: int) -> list[tuple[int, int, int]]:
+    """best_fit_classes at the smallest capacity (to 1/65536 of a fair share) that needs at most ``shards`` bins."""
     if not sizes:
         return []
-    total = sum(sizes)
-    low = max(max(sizes), -(-total // shards))
+    total = sum(s * n for s, n in zip(sizes, counts))
+    low = max(sizes[0], -(-total // shards))
     step = max(1, total // shards >> 16)
-    if (out := best_fit_decreasing(sizes, low, shards)) is not None:
+    if (out := best_fit_classes(sizes, counts, low, shards)) is not None:
         return out
     fail, good = low, low
-    while (out := best_fit_decreasing(sizes, good, shards)) is None:
+    while (out := best_fit_classes(sizes, counts, good, shards)) is None:
         fail, good = good, good + max(step, good // 64)
     while good - fail > step:
         mid = (fail + good) // 2
-        new = best_fit_decreasing(sizes, mid, shards)
+        new = best_fit_classes(sizes, counts, mid, shards)
         fail, good, out = (mid, good, out) if new is None else (fail, mid, new)
     return out
 
 
-def assign(base: DataFrame, shards: int | None, capacity: int | None = None, bundles: int = BUNDLES) -> DataFrame:
+def group_shards(groups: DataFrame, shards: int | None, capacity: int | None = None) -> DataFrame:
+    """groups (group, bytes), stable when read twice -> (group, shard)."""
+    spark = groups.sparkSession
+    classes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bytes")).toArrow()
+    sizes, counts = classes["bytes"].to_pylist(), classes["n"].to_pylist()
+    runs = pack_classes(sizes, counts, shards) if shards else best_fit_classes(sizes, counts, capacity)
+    c, n, bins = (np.array([r[i] for r in runs], dtype=np.int64) for i in range(3))
+    first = np.cumsum(n) - n
+    first -= first[np.searchsorted(c, c)]  # rank of the run's first group within its class; runs lie in order of class
+    table = pa.table({"_bytes": pa.array(np.array(sizes, dtype=np.int64)[c]), "_lo": pa.array(first), "_hi": pa.array(first + n - 1), "shard": pa.array(bins.astype(np.int32)), "_whole": pa.array(n == np.array(counts, dtype=np.int64)[c])})
+    plan = scratch.table(spark.createDataFrame(table), "runs")
+    whole = plan.filter("_whole").select("_bytes", "shard")
+    split = plan.filter("NOT _whole")
+    one = groups.join(scratch.small(whole), F.col("bytes") == F.col("_bytes")).select("group", "shard")
+    some = groups.join(scratch.small(split.select("_bytes").distinct()), F.col("bytes") == F.col("_bytes"), "left_semi")
+    ranked = scratch.ranked(scratch.table(some, "split"), "bytes", "group", ["group"], "_rank", max(4, -(-sum(counts) // 200_000)))
+    cells = split.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / RANKS), F.floor(F.col("_hi") / RANKS))))
+    near = (F.col("bytes") == F.col("_bytes")) & (F.floor(F.col("_rank") / RANKS) == F.col("_cell"))
+    rest = ranked.join(scratch.small(cells), near & F.col("_rank").between(F.col("_lo"), F.col("_hi"))).select("group", "shard")
+    return one.unionByName(rest)
+
+
+def assign(base: DataFrame, shards: int | None, capacity: int | None = None) -> DataFrame:
     """base (group bigint, size bigint, ...) -> with shard. base is stable when read twice."""
     groups = scratch.table(base.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    limit = min(total // bundles, (capacity or total) // 64)
-    if capacity:  # bundles stay well below a bin
-        bundles = max(bundles, 128 * -(-total // capacity))
-        limit = min(limit, total // bundles)
-    large = [(r[0], r[1]) for r in groups.filter(F.col("bytes") > limit).select("group", "bytes").orderBy("group").toLocalIterator()]
-    bundle = F.pmod(F.col("group"), F.lit(bundles)).cast("int")
-    small = [(r[0], r[1]) for r in groups.filter(F.col("bytes") <= limit).groupBy(bundle.alias("b")).agg(F.sum("bytes")).orderBy("b").toLocalIterator()]
-    sizes = [n for _, n in large] + [n for _, n in small]
-    bins = pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    spark = base.sparkSession
-    big = spark.createDataFrame([(k, b) for (k, _), b in zip(large, bins)], "_g bigint, _big int")
-    rest = spark.createDataFrame([(k, b) for (k, _), b in zip(small, bins[len(large) :])], "_b int, _rest int")
-    # both maps have at most `bundles` rows
-    out = base.join(F.broadcast(big), F.col("group") == F.col("_g"), "left").join(F.broadcast(rest), bundle == F.col("_b"), "left")
-    return out.withColumn("shard", F.coalesce("_big", "_rest")).drop("_g", "_big", "_b", "_rest")
+    where = scratch.table(group_shards(groups, shards, capacity), "where").withColumnRenamed("group", "_g")
+    return base.join(scratch.small(where, MAP_ROWS), F.col("group") == F.col("_g")).drop("_g")
 
 
 def group_of(text):
@@ -141,7 +179,7 @@ def pack(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shard
     Give ``shards`` for near-equal sizes in that many shards, or ``shards=None`` and ``capacity`` in
     bytes for as few shards of that capacity as best fit needs.
     """
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ("shard", "slot")]
     out = _placed(_base(docs, doc_col, text_col, cols), shards, capacity)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "shard", "slot")
 
