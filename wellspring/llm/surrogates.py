@@ -1,29 +1,34 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
-Emails, assigned secrets, IPv4 addresses, payment cards (Luhn-valid digit runs), national numbers
-(ddd-dd-dddd), phones and person names (a title or a known first name before a capitalised word) are
-found by one expression. The replacement is a function of the key, the kind and the normalised entity,
-so an entity gets the same surrogate wherever it occurs (coreference), in any of its formats:
+Emails, assigned secrets and key prefixes, IBANs (check digits right), IPv4 and IPv6 addresses, payment cards
+(Luhn-valid digit runs), national numbers (ddd-dd-dddd), phones and person names (a title or a known first name before
+capitalised words) are found by one expression. The replacement is a function of the key, the kind and the
+normalised entity, so an entity gets the same surrogate wherever it occurs (coreference), in any of its formats:
 
-* digits (phone, card, national number, address) go through a keyed Feistel permutation of all strings of
+* digits (phone, card, national number, IPv4, IBAN) go through a keyed Feistel permutation of all strings of
   that length, which cannot map two entities to one; punctuation stays, cards keep their first digit and
-  end in a right Luhn digit, phones keep their country code;
-* names keep title, gender and script: the first name comes from the list of its gender and script, the
-  surname is built from keyed syllables of its script and is the same with or without a first name;
-* emails keep script, dots, digit count, top-level domain and case; secrets keep length and alphabet.
+  end in a right Luhn digit, IBANs keep country and letters and get right check digits, phones keep the country
+  code that the table of calling codes reads from their digits (ten-digit forms count as +1, 0d dd dd dd dd as +33);
+* names keep title, particles, gender, script and case: known first names move along a keyed cycle through the list
+  of their gender and script (no two meet, none stays), other parts are built from keyed syllables of their script,
+  and a surname is the same with or without a first name;
+* emails keep script, dots, digit count, top-level domain and case; secrets and IPv6 keep lengths and alphabets.
 
-Collision check: the distinct entities of the corpus are mapped, and kinds built from syllables or
-random characters must map to as many distinct surrogates. Their length starts at what the count of
-entities needs and grows by one until the check passes.
+Collision check: the distinct entities of the corpus are mapped, and every kind must map to as many distinct
+surrogates, none of which (names, emails, secrets, IPv6) is an entity of the corpus itself. Lengths of names and
+emails start at what the count of entities needs; a kind that clashes is drawn anew, longer, until the check passes.
 
 Everything is DataFrame expressions; one scan gathers distinct entities, one rewrites texts.
 
-Defined results: a null text stays null with no entities; digit runs that fail the Luhn check stay;
-repeated rows get equal results; an empty table gives an empty result; ``replace`` keeps extra columns.
+Defined results: a null text stays null with no entities; digit runs that fail the Luhn check stay, as do IBANs whose
+check digits are wrong; of overlapping entities the first in the text counts, at one place the first kind of ``KINDS``' pattern;
+very long texts are searched whole; repeated rows get equal results; an empty table gives an empty result; ``replace``
+keeps extra columns, but for those named like its counts (n_<kind>), which its own replace.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,24 +46,36 @@ MALE_CYR = "Иван Сергей Алексей Дмитрий Николай 
 TITLES_F = "Mrs Ms Miss Frau Mme Señora Sra".split()
 TITLES_M = "Mr Herr Señor Sr".split()
 TITLES_N = "Dr Prof".split()
+PARTICLES = "von van der den de del la da di dos le".split()
 LATIN = "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se so ta te to va ve vi wa".split()
 CYRILLIC = "ба бе би бо ва ве ви во га го да де ди до ка ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се со та те то".split()
 
 L, D = r"\p{L}", r"\p{N}"
 EMAIL = rf"(?<![{L}{D}._%+\-])[{L}{D}._%+\-]++@[{L}{D}\-]+(?:\.[{L}{D}\-]+)*\.{L}{{2,}}"
 SECRET = r"(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd|pwd)\s*[=:]\s*[\"']?[A-Z0-9_\-/+]{16,})"
+PREFIXES = r"sk-(?:proj-)?|AKIA|ASIA|ghp_|gho_|xox[abp]-|AIza"
+TOKEN = rf"(?<![{L}{D}_\-])(?:sk-(?:proj-)?[A-Za-z0-9_\-]{{20,}}|(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[po]_[A-Za-z0-9]{{36}}|xox[abp]-[A-Za-z0-9\-]{{12,}}|AIza[A-Za-z0-9_\-]{{35}})(?![{L}{D}_])"
+IBAN = rf"(?<![{L}{D}])[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?)(?![{L}{D}])"
+IP6 = r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{6})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?!\.?[0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9+])\+33[ .\-]?[1-9](?:[ .\-]?[0-9]{2}){4}(?![0-9])|(?<![0-9.+\-])0[1-9](?:[ .\-][0-9]{2}){4}(?!\.?[0-9])|(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?!\.?[0-9])|\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])"
 NATIONAL = r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 FIRST = "|".join(FEMALE + MALE + FEMALE_CYR + MALE_CYR)
 TITLE = "|".join(TITLES_F + TITLES_M + TITLES_N)
-SURNAME = rf"\p{{Lu}}{L}*\p{{Ll}}{L}*"
-NAME = rf"(?<![{L}{D}])(?=\p{{Lu}})(?:(?:{TITLE})\.? (?:(?:{FIRST}) )?{SURNAME}|(?:{FIRST}) {SURNAME})(?![{L}{D}])"
-ANY = "|".join([EMAIL, SECRET, IP, PHONE, NATIONAL, CARD, NAME])
-MAYBE = rf"[0-9@=:]|(?=\p{{Lu}})(?:(?:{TITLE})\.?|{FIRST}) \p{{Lu}}"
-KINDS = ["email", "secret", "ip", "phone", "national", "card", "name"]
+FIRST_CAPS = "|".join(x.upper() for x in FEMALE + MALE + FEMALE_CYR + MALE_CYR)
+GIVEN = rf"(?:{FIRST})(?:-(?:{FIRST}))?"
+SURNAME = rf"\p{{Lu}}(?:['’]\p{{Lu}})?{L}*\p{{Ll}}{L}*(?:-\p{{Lu}}{L}+)?"
+BEFORE = rf"(?:\p{{Lu}}\. )*(?:(?:{'|'.join(PARTICLES)}) )*"
+NAMED = rf"(?:{GIVEN} )+{BEFORE}{SURNAME}"
+NAME = rf"(?<![{L}{D}])(?=\p{{Lu}})(?:(?:{TITLE})\.? (?:{NAMED}|{BEFORE}{SURNAME}(?: {SURNAME})?)|{NAMED}|(?:{FIRST_CAPS}) \p{{Lu}}{{2,}}(?:-\p{{Lu}}{{2,}})?)(?![{L}{D}])"
+ANY = "|".join([EMAIL, SECRET, TOKEN, IBAN, IP6, IP, PHONE, NATIONAL, CARD, NAME])
+MAYBE = rf"[0-9@=:]|(?=\p{{Lu}})(?:(?:{TITLE})\.?|{FIRST}|{FIRST_CAPS})[ -]|(?:sk-|gh[po]_|xox|AIza)"
+# Calling codes of one and two digits; all others have three.
+CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+KINDS = ["email", "secret", "ip", "phone", "national", "card", "name", "iban", "ip6"]
+DRAWN = ("name", "email", "secret", "ip6")  # not permutations: checked, and drawn anew where they clash
 
 
 def _q(s: str) -> str:
@@ -84,20 +101,46 @@ def luhn_sum(d: str) -> str:
     return f"aggregate(transform(split(reverse({d}), ''), (c, i) -> {_let(x, 'v', 'v - 9 * CAST(v > 9 AS INT)')}), 0, (s, v) -> s + v)"
 
 
+def mod97(x: str) -> str:
+    """An IBAN's number modulo 97: letters count as 10 to 35, the first four characters stand last."""
+    digit = "IF(c BETWEEN '0' AND '9', CAST(c AS BIGINT), CAST(ascii(c) - 55 AS BIGINT))"
+    step = _let(digit, "v", "(s * IF(v > 9, 100, 10) + v) % 97")
+    return f"aggregate(filter(split(concat(substr({x}, 5), left({x}, 4)), ''), c -> c != ''), 0L, (s, c) -> {step})"
+
+
 def kind_of(e: str) -> str:
-    """The kind of an entity found by ANY; null for a digit run that fails the Luhn check."""
+    """The kind of an entity found by ANY; null for a number whose check digits are wrong."""
     digits = f"regexp_replace({e}, '[^0-9]', '')"
     ok = _let(digits, "d", f"({luhn_sum('substr(d, 1, length(d) - 1)')} + CAST(right(d, 1) AS INT)) % 10 = 0")
+    right = _let(f"replace({e}, ' ', '')", "d", f"{mod97('d')} = 1")
     return (
-        f"CASE WHEN rlike({e}, {_full(EMAIL)}) THEN 'email' WHEN rlike({e}, {_full(SECRET)}) THEN 'secret' WHEN rlike({e}, {_full(IP)}) THEN 'ip' "
+        f"CASE WHEN rlike({e}, {_full(EMAIL)}) THEN 'email' WHEN rlike({e}, {_full(SECRET)}) OR rlike({e}, {_full(TOKEN)}) THEN 'secret' "
+        f"WHEN rlike({e}, {_full(IBAN)}) THEN CASE WHEN {right} THEN 'iban' END WHEN rlike({e}, {_full(IP6)}) THEN 'ip6' WHEN rlike({e}, {_full(IP)}) THEN 'ip' "
         f"WHEN rlike({e}, {_full(PHONE)}) THEN 'phone' WHEN rlike({e}, {_full(NATIONAL)}) THEN 'national' "
         f"WHEN rlike({e}, {_full(CARD)}) THEN CASE WHEN {ok} THEN 'card' END WHEN rlike({e}, {_full(NAME)}) THEN 'name' END"
     )
 
 
+def kept_digits(e: str, y: str) -> str:
+    """How many leading digits y of a phone number e stay: its calling code, a trunk 0, or none."""
+    return f"CASE WHEN {e} LIKE '+%' THEN length(regexp_extract({y}, '^({CALLING})', 1)) WHEN {y} LIKE '0%' AND rlike({e}, '^0[1-9][ .-]') THEN 1 ELSE 0 END"
+
+
+def title_of(e: str) -> str:
+    return f"regexp_extract({e}, {_q(rf'^(?:({TITLE})(\.?) )?')}, 0)"
+
+
 def norm_of(e: str, k: str) -> str:
-    """What makes two mentions one entity: digits of numbers, lower-cased emails, the value of a secret, the name itself."""
-    return f"CASE WHEN {k} IN ('phone', 'national', 'card') THEN regexp_replace({e}, '[^0-9]', '') WHEN {k} = 'email' THEN lower({e}) WHEN {k} = 'secret' THEN regexp_extract({e}, '([A-Za-z0-9_/+-]+)$', 1) ELSE {e} END"
+    """What makes two mentions one entity: international digits of phones, digits of numbers, lower-cased emails,
+    addresses and untitled names, the value of a secret."""
+    digits = f"regexp_replace({e}, '[^0-9]', '')"
+    phone = _let(digits, "y", f"CASE WHEN {e} LIKE '+%' THEN y WHEN {kept_digits(e, 'y')} = 1 THEN concat('33', substr(y, 2)) ELSE concat('1', y) END")
+    return f"CASE {k} WHEN 'phone' THEN {phone} WHEN 'national' THEN {digits} WHEN 'card' THEN {digits} WHEN 'iban' THEN replace({e}, ' ', '') WHEN 'email' THEN lower({e}) WHEN 'ip6' THEN lower({e}) WHEN 'secret' THEN {value_of(e)} WHEN 'name' THEN lower(substr({e}, length({title_of(e)}) + 1)) ELSE {e} END"
+
+
+def value_of(e: str) -> str:
+    """The random part of a secret: after the sign of assignment or the key prefix."""
+    return f"regexp_extract({e}, {_q(rf'(?:[=:]\s*["\']?(?:{PREFIXES})?|^(?:{PREFIXES}))([A-Za-z0-9_/+-]+)$')}, 1)"
 
 
 def _number(key: str, *of: str) -> str:
@@ -127,9 +170,13 @@ def _word(key: str, tag: str, of: str, n: int) -> str:
 def surrogate(e: str, k: str, key: str, sizes: dict[str, int]) -> str:
     """SQL for the replacement of entity e of kind k."""
     digits = f"regexp_replace({e}, '[^0-9]', '')"
-    phone = _let(digits, "y", _let(f"IF({e} LIKE '+%', length(regexp_extract({e}, '[+]([0-9]{{1,3}})', 1)), 0)", "p", _into(e, f"concat(substr(y, 1, p), {_permute(key, 'phone', 'substr(y, p + 1)')})")))
+    phone = _let(digits, "y", _let(kept_digits(e, "y"), "p", _into(e, f"concat(substr(y, 1, p), {_permute(key, 'phone', 'substr(y, p + 1)')})")))
     card = _let(digits, "y", _let(f"concat(substr(y, 1, 1), {_permute(key, 'card', 'substr(y, 2, length(y) - 2)')})", "b", _into(e, f"concat(b, CAST((10 - {luhn_sum('b')} % 10) % 10 AS STRING))")))
     national = _into(e, _permute(key, "national", digits))
+    bare = _let(f"replace({e}, ' ', '')", "b", _let(f"concat(left(b, 2), '00', substr(b, 5))", "z", _let(_into("z", f"concat('00', {_permute(key, 'iban', "regexp_replace(substr(z, 5), '[^0-9]', '')")})"), "w", f"concat(left(w, 2), lpad(CAST(98 - {mod97('w')} AS STRING), 2, '0'), substr(w, 5))")))
+    iban = _let(bare, "w", f"aggregate(split({e}, ''), named_struct('o', '', 'k', 0), (s, c) -> IF(c = ' ', named_struct('o', concat(s.o, c), 'k', s.k), named_struct('o', concat(s.o, substr(w, s.k + 1, 1)), 'k', s.k + 1)), s -> s.o)")
+    hexes = f"array_join(transform(split({e}, ':'), (g, i) -> IF(g = '', '', array_join(transform(sequence(1, length(g)), j -> substr('{{hex}}', CAST({_number(key, _q('ip6'), _q(str(sizes['ip6'])), f'lower({e})', 'CAST(i AS STRING)', 'CAST(j AS STRING)')} % 16 AS INT) + 1, 1)), ''))), ':')"
+    ip6 = f"IF({e} = upper({e}), {hexes.format(hex='0123456789ABCDEF')}, {hexes.format(hex='0123456789abcdef')})"
     octets = f"transform(split({e}, '[.]'), v -> CAST(v AS BIGINT))"
     half = f"named_struct('a', s.b, 'b', pmod(s.a + {_number(key, _q('ip'), 'CAST(r AS STRING)', 'CAST(s.b AS STRING)')}, 65536L))"
     ip = _let(octets, "o", f"aggregate(sequence(0, 5), named_struct('a', o[0] * 256 + o[1], 'b', o[2] * 256 + o[3]), (s, r) -> {half}, s -> concat_ws('.', CAST(s.a DIV 256 AS STRING), CAST(s.a % 256 AS STRING), CAST(s.b DIV 256 AS STRING), CAST(s.b % 256 AS STRING)))")
@@ -137,17 +184,23 @@ def surrogate(e: str, k: str, key: str, sizes: dict[str, int]) -> str:
     tail = f"CASE WHEN rlike(l, '[0-9]') THEN lpad(CAST({_number(key, _q('digits'), 'l', 'h')} % CAST(rpad('1', 1 + least(length(regexp_replace(l, '[^0-9]', '')), 9), '0') AS BIGINT) AS STRING), least(length(regexp_replace(l, '[^0-9]', '')), 9), '0') ELSE '' END"
     mail = _let(local, "l", _let(domain, "h", f"concat({_word(key, 'mail', 'concat(l, chr(64), h)', sizes['email'])}, IF(l LIKE '%.%', '.', ''), {tail}, '@', {_word(key, 'host', 'h', 3)}, '.example.', substring_index(h, '.', -1))"))
     mail = _let(mail, "m", f"IF({e} = upper({e}), upper(m), m)")
-    value = norm_of(e, "'secret'")
-    alphabet = "IF(rlike(v, '^[0-9a-f]+$'), '0123456789abcdef', IF(rlike(v, '^[0-9A-F]+$'), '0123456789ABCDEF', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'))"
-    chars = _let(alphabet, "z", f"array_join(transform(sequence(1, length(v)), i -> substr(z, CAST({_number(key, _q('secret'), 'v', 'CAST(i AS STRING)')} % length(z) AS INT) + 1, 1)), '')")
+    value = value_of(e)
+    alphabet = "IF(rlike(v, '^[0-9a-f]+$'), '0123456789abcdef', IF(rlike(v, '^[0-9A-F]+$'), '0123456789ABCDEF', IF(rlike(v, '^[0-9A-Z]+$'), '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')))"
+    chars = _let(alphabet, "z", f"array_join(transform(sequence(1, length(v)), i -> substr(z, CAST({_number(key, _q('secret'), _q(str(sizes['secret'])), 'v', 'CAST(i AS STRING)')} % length(z) AS INT) + 1, 1)), '')")
     secret = _let(value, "v", f"concat(left({e}, length({e}) - length(v)), {chars})")
-    title = f"regexp_extract({e}, {_q(rf'^(?:({TITLE})(\.?) )?')}, 0)"
-    first = f"regexp_extract({e}, {_q(rf'^(?:(?:{TITLE})\.? )?({FIRST}) ')}, 1)"
-    last = f"regexp_extract({e}, {_q(r'([^ ]+)$')}, 1)"
-    lists = [FEMALE, MALE, FEMALE_CYR, MALE_CYR]
-    given = "CASE " + " ".join(f"WHEN array_contains({_array(xs)}, f) THEN concat(element_at({_array(xs)}, CAST({_number(key, _q('first'), 'f')} % {len(xs)} AS INT) + 1), ' ')" for xs in lists) + " ELSE '' END"
-    name = _let(first, "f", f"concat({title}, {given}, initcap({_word(key, 'last', last, sizes['name'])}))")
-    return f"CASE {k} WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'national' THEN {national} WHEN 'card' THEN {card} WHEN 'name' THEN {name} ELSE {e} END"
+    given = " ".join(f"WHEN map_contains_key({m}, g) THEN element_at({m}, g)" for m in (_cycle(key, xs) for xs in (FEMALE, MALE, FEMALE_CYR, MALE_CYR)))
+    part = lambda tag: f"array_join(transform(split(p, '-'), w -> initcap({_word(key, tag, 'lower(w)', sizes['name'])})), '-')"
+    inner = _let("initcap(lower(p))", "g", f"CASE {given} WHEN length(p) < 3 OR lower(p) = p THEN p WHEN p LIKE '%-%' THEN array_join(transform(split(p, '-'), w -> {_let('initcap(lower(w))', 'g', f'CASE {given} ELSE w END')}), '-') ELSE {part('given')} END")
+    words = f"split(substr({e}, length(t) + 1), ' ')"
+    name = _let(title_of(e), "t", _let(words, "ws", f"concat(t, array_join(transform(ws, (p, i) -> IF(i = size(ws) - 1, {part('last')}, {inner})), ' '))"))
+    name = _let(name, "m", f"IF({e} = upper({e}), upper(m), m)")
+    return f"CASE {k} WHEN 'email' THEN {mail} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'national' THEN {national} WHEN 'card' THEN {card} WHEN 'name' THEN {name} WHEN 'iban' THEN {iban} WHEN 'ip6' THEN {ip6} ELSE {e} END"
+
+
+def _cycle(key: str, names: list[str]) -> str:
+    """SQL map of every name of a list to the next in a keyed order: one cycle, so none meets another or stays."""
+    order = sorted(names, key=lambda x: hashlib.sha256(f"{key}:{x}".encode()).hexdigest())
+    return "map(" + ", ".join(f"{_q(a)}, {_q(b)}" for a, b in zip(order, order[1:] + order[:1])) + ")"
 
 
 def found(text: Column) -> Column:
@@ -157,25 +210,29 @@ def found(text: Column) -> Column:
 
 
 def sizes_for(counts: dict[str, int]) -> dict[str, int]:
-    """Syllables for names and emails such that few clashes are expected among so many entities."""
+    """Syllables for names and emails such that few clashes are expected among so many entities; first draws of the others."""
     need = lambda n: max(3, math.ceil(math.log(max(n, 1) ** 2 * 5, 40)))
-    return {k: need(counts.get(k, 0)) for k in ("name", "email")}
+    return {k: need(counts.get(k, 0)) if k in ("name", "email") else 0 for k in DRAWN}
 
 
-def checked_sizes(entities: DataFrame, key: str) -> dict[str, int]:
-    """Surrogate lengths under which distinct entities (kind, norm, entity) keep distinct surrogates.
+def clashing(entities: DataFrame, key: str, sizes: dict[str, int]) -> set[str]:
+    """Kinds of which two entities share a surrogate, or a drawn surrogate is an entity of the corpus."""
+    s = entities.select("kind", "norm", F.expr(norm_of(f"({surrogate('entity', 'kind', key, sizes)})", "kind")).alias("s")).distinct()
+    twice = s.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind")
+    met = s.filter(F.col("kind").isin(*DRAWN)).join(entities.select("kind", F.col("norm").alias("s")), ["kind", "s"], "left_semi").select("kind")
+    return {r[0] for r in twice.union(met).distinct().collect()}
+
 
-    For names the check is on surnames, as first names come from short lists.
-    """
+def checked_sizes(entities: DataFrame, key: str) -> dict[str, int]:
+    """Draws under which distinct entities (kind, norm, entity) of every kind keep distinct whole surrogates."""
     sizes = sizes_for({r["kind"]: r["n"] for r in entities.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()})
     for _ in range(20):
-        s = entities.filter(F.col("kind").isin("name", "email", "secret")).select("kind", F.when(F.col("kind") == "name", F.substring_index("norm", " ", -1)).otherwise(F.col("norm")).alias("own"), F.expr(surrogate("entity", "kind", key, sizes)).alias("s"))
-        s = s.select("kind", "own", F.when(F.col("kind") == "name", F.substring_index("s", " ", -1)).when(F.col("kind") == "secret", F.regexp_extract("s", "([A-Za-z0-9_/+-]+)$", 1)).otherwise(F.lower("s")).alias("s")).distinct()
-        clash = [r[0] for r in s.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind").distinct().collect()]
-        grow = [k for k in clash if k in sizes]
-        if not grow:
+        bad = clashing(entities, key, sizes)
+        if not bad:
             return sizes
-        sizes |= {k: sizes[k] + 1 for k in grow}
+        if bad - set(DRAWN):
+            raise RuntimeError(f"surrogates of {sorted(bad)} clash")
+        sizes |= {k: sizes[k] + 1 for k in bad}
     raise RuntimeError("surrogates still clash")
 
 
@@ -203,7 +260,7 @@ def distinct_entities(docs: DataFrame, text: Column) -> DataFrame:
 
 def replace(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with surrogates in its text column, then entity counts by kind (n_<kind>)."""
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
     d = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
     t = F.col(f"_c{cols.index(text_col)}")
     sizes = checked_sizes(scratch.table(distinct_entities(d, t), "entities"), key)
