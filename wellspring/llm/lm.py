@@ -13,15 +13,17 @@ of the previous subword, keys are embeddings of what stood before earlier subwor
 weights with a bias by distance vote for those subwords, and the sentinel's weight goes to a spelling
 model (interpolated counts of subwords by the two before within the word, from the vocabulary of all
 training texts). Word ends come from the spelling model. Embeddings, distance bias and sentinel are
-trained with Adam on every training document, one bounded buffer at a time in each partition, and averaged
-by subwords. Texts are scored in windows of ``WINDOW`` subwords moved by
+trained with Adam: every training document belongs by its text's hash to one of ``STEPS`` steps, whose gradient is summed
+over the cluster, so the layout of the rows changes no score beyond rounding. Texts are scored in windows of ``WINDOW`` subwords moved by
 ``STRIDE``: each subword is scored once, with at least WINDOW - STRIDE subwords before it where the text has them.
 
 Counts of the ``HEAD`` most frequent words are broadcast (a fixed bound); other words meet their counts
 in a shuffle that carries one row per occurrence of a rare word.
 
 Defined results: a null text is an empty text of one end token; a null doc_id is training text;
-repeated rows are counted and scored one by one; with no training tokens base_score is 0; an empty table gives an empty result.
+repeated rows are counted and scored one by one; equal counts at the edge of the head are ordered by word and change no score; very long
+texts are scored whole, window by window; with no training tokens base_score is 0; an empty table gives an empty result; other
+columns of docs are left out of the result, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,8 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 VOCAB, WINDOW, STRIDE, WIDTH = 1024, 32, 16, 16
 HEAD = 200_000
 LEAST, MOST = 0.002, 0.95  # of the gate
-BUCKETS = 1 << 13
+BUCKETS = 1 << 11  # at most (BUCKETS + VOCAB + 1) * (VOCAB + 1) counts reach the driver: 50 MB
+STEPS, RATE = 8, 0.08
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 END = b" "  # cannot be a word
 SLICE_WORDS = 200_000
@@ -163,15 +166,13 @@ class Attention:
         return float(-(np.log(np.maximum(p, 1e-12)) * live).sum() / n), grad.flat
 
 
-def train(model: Attention, batches: list[tuple], rate: float = 0.02) -> tuple[np.ndarray, int]:
-    """Adam over the batches; the parameters and the subwords seen."""
-    m, v, seen, x = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, model.flat
-    for i, (prev, ids, base, first) in enumerate(batches, 1):
-        _, g = model.step(prev, ids, base, first)
+def adam(params: np.ndarray, grads: Iterator[np.ndarray], rate: float = RATE) -> np.ndarray:
+    """Parameters after one Adam step for each gradient; grads may look at params, which is updated in place."""
+    m, v = np.zeros(len(params)), np.zeros(len(params))
+    for i, g in enumerate(grads, 1):
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x -= (rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
-        seen += int((ids[:, first:] >= 0).sum())
-    return x, seen
+        params -= (rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+    return params
 
 
 class Words:
@@ -306,38 +307,45 @@ def spelling_counts(counts: DataFrame, path: str, vocab: int = VOCAB) -> tuple[n
     return two, one
 
 
-def fit(train_docs: DataFrame, speller, path: str) -> np.ndarray:
-    """Attention parameters: trained in every partition on all its documents, averaged by subwords."""
-    size = len(Attention().flat)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, rows, seen = Words(Spelling(path), speller.value), Attention(), [], 0
-
-        def flush():
-            nonlocal seen, rows
-            prev, ids, base = (np.concatenate(x) for x in zip(*rows))
-            order = np.random.default_rng(len(ids)).permutation(len(ids))
-            todo = [(prev[o], ids[o], base[o], WINDOW - STRIDE) for o in np.array_split(order, max(1, len(order) // 32))]
-            x, n = train(model, todo)
-            seen += n
-            rows = []
-
-        for b in batches:
-            for t in _texts(b, 0):
-                if w := tokens(t.as_py()):
-                    ids, base, _ = words.gather(words.types(w))
-                    rows.append(windows(ids, base, VOCAB))
-                    if sum(len(r[0]) for r in rows) > 4000:
-                        flush()
-        if rows:
-            flush()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(model.flat.astype(np.float64) * seen), pa.array(np.full(size, seen, dtype=np.int64))], names=["i", "x", "n"])
-
-    got = train_docs.select("text").mapInArrow(run, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
-    flat = Attention().flat.copy()
-    flat[got["i"].to_numpy()] = got["x"].to_numpy()
-    return flat
+def fit(train_docs: DataFrame, speller, path: str, steps: int = STEPS) -> np.ndarray:
+    """Attention parameters after one Adam step for each hash bucket of the training documents."""
+    model = Attention()
+    size = len(model.flat)
+
+    def gradient(step: int) -> np.ndarray:
+        params = model.flat.copy()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, now, rows, total, seen = Words(Spelling(path), speller.value), Attention(params), [], np.zeros(size), 0
+
+            def flush() -> None:
+                nonlocal total, seen
+                prev, ids, base = (np.concatenate(x) for x in zip(*rows))
+                rows.clear()
+                for a in range(0, len(ids), 256):
+                    n = int((ids[a : a + 256, WINDOW - STRIDE :] >= 0).sum())
+                    total += now.step(prev[a : a + 256], ids[a : a + 256], base[a : a + 256], WINDOW - STRIDE)[1].astype(np.float64) * n
+                    seen += n
+
+            for b in batches:
+                for t in _texts(b, 0):
+                    if w := tokens(t.as_py()):
+                        ids, base, _ = words.gather(words.types(w))
+                        rows.append(windows(ids, base, VOCAB))
+                        if sum(len(r[0]) for r in rows) > 2000:
+                            flush()
+            if rows:
+                flush()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, seen, dtype=np.int64))], names=["i", "x", "n"])
+
+        own = train_docs.filter(F.pmod(F.xxhash64("text"), F.lit(steps)) == step).select("text")
+        got = own.mapInArrow(run, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        g = np.zeros(size)
+        g[got["i"].to_numpy()] = got["x"].to_numpy()
+        return np.round(g, 7)  # sums in another order differ far below
+
+    return adam(model.flat, (gradient(t) for t in range(steps)))
 
 
 def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
