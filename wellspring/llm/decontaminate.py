@@ -7,7 +7,9 @@ benchmark gram) is left out of the array: this is lossless, as only matches of w
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no
 windows; repeated documents are judged one by one, repeated items each count by their own id; empty
-tables give empty or all-clean results; extra columns pass through ``decontaminate`` untouched.
+tables give empty or all-clean results; an item of null id hits words but is neither counted nor listed; of equally long matches the one
+found first, by item position and then document position, is reported; very long texts are searched whole; extra columns pass through
+``decontaminate`` untouched whatever their names, and in ``report`` its own columns replace kept ones of their names.
 """
 
 from __future__ import annotations
@@ -137,18 +139,17 @@ def search(q: Queries, docs: list[list[bytes]]) -> list[tuple[np.ndarray, dict[i
     return out
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int) -> list[Queries]:
-    """The stated query set in blocks of bounded bytes, streamed through the driver."""
-    blocks, now, size = [], [], 0
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int) -> Iterator[Queries]:
+    """The stated query set in blocks of bounded bytes, one at a time on the driver."""
+    now, size = [], 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         now.append((r["i"], r["t"]))
         size += len(r["t"] or "")
         if size >= block_bytes:
-            blocks.append(Queries(now, window))
+            yield Queries(now, window)
             now, size = [], 0
     if now:
-        blocks.append(Queries(now, window))
-    return blocks
+        yield Queries(now, window)
 
 
 REPORT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches array<struct<item_id:string,words:bigint,item_at:bigint,doc_at:bigint>>"
@@ -161,6 +162,7 @@ def report(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
     ``block_bytes`` of text, and a task holds one block and one shard at a time.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in scratch.schema(REPORT).names]
     parts = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, bench_text, block_bytes, window)]
     fields = [docs.schema[c] for c in keep] + list(scratch.schema(REPORT).fields)
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
@@ -175,13 +177,15 @@ def report(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
                 if best:
                     masks[k] |= mask
                     for item, m in best.items():
+                        if q.item_ids[item] is None:
+                            continue
                         i = str(q.item_ids[item])
                         found[k][i] = max(found[k].get(i, (0, 0, 0)), m)
             if len(parts) > 1:
                 b.__dict__.pop("_value", None)  # one block at a time; read again from its local file for the next shard
         rows = []
         for d, mask, hit in zip(docs_, masks, found):
-            n, items = int(mask.sum()), sorted(hit)
+            n, items = int(mask.sum()), sorted(hit, key=str.encode)
             matches = [{"item_id": i, "words": int(hit[i][0]), "item_at": int(hit[i][1]), "doc_at": int(hit[i][2])} for i in items]
             rows.append((len(d), n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), n > 0, matches))
         return rows
@@ -204,14 +208,15 @@ def report(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
                 start = stop
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, out_schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, out_schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """docs without the documents that hold a benchmark window; columns unchanged."""
     cols = docs.columns
-    out = report(docs, benchmark, cols, text_col=text_col, **kw)
-    return out.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in cols])
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
+    out = report(own, benchmark, own.columns, text_col=f"_c{cols.index(text_col)}", **kw)
+    return out.filter(~F.col("contaminated")).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +240,7 @@ dw AS (
   FROM d, ns, unnest(range(1, len(w) - n + 2)) AS t(i)),
 hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
-it AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit),
+it AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM it GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

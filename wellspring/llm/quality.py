@@ -4,14 +4,15 @@ Every text gets exact word, symbol, line and repetition counts. Texts that pass
 described by a transformed vector (log word length, symbol rate, repetition share, duplicate-line share)
 and compared with their own language and source: a minimum-covariance-determinant estimate of
 location and scatter (deterministic start from medians and quartiles, concentration steps on the
-closest three quarters, one reweighting step) and a Mahalanobis cut-off in the far tail of chi-square.
-A group of fewer than ``MIN_GROUP`` texts borrows its language's estimate, a small language that of all.
+closest three quarters until the determinants settle, one reweighting step) and a Mahalanobis cut-off in the far tail
+of chi-square. A group of fewer than ``MIN_GROUP`` texts borrows its language's estimate, a small language that of all.
 
 All of it is DataFrame expressions and aggregates; medians and quantiles come from fixed-width
 histograms, so they are exact to the bin, mergeable and equal on every run.
 
 Defined results: a null text has no words and fails; null language or source form groups of their own;
-repeated rows are judged alike; an empty table gives an empty result; ``quality`` keeps extra columns.
+repeated rows are judged alike, texts at equal distance too; very long texts count whole; an empty table gives an empty result; ``quality`` keeps extra
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from . import scratch
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-MIN_WORDS, MIN_GROUP, STEPS = 50, 40, 3
+MIN_WORDS, MIN_GROUP = 50, 40
+STEPS, SETTLED = 30, 0.02  # concentration stops when no group's log determinant moves by SETTLED, at the latest after STEPS
 INDEX_BITS = 20
 
 #: Least standard deviation of each feature: word length, symbols, repetition, duplicate lines.
@@ -142,16 +144,18 @@ def estimates(rows: DataFrame) -> DataFrame:
         start = q if start is None else start.join(q, "_k")
     start = start.withColumns({f"_l{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})
     est = scratch.table(start, "mcd")
-    for step in range(STEPS + 1):
-        d = rows.join(scratch.small(est), "_k").withColumn("_d", _distance())
-        if step < STEPS:  # concentrate on the closest COVERAGE of each group
-            cut = _quantiles(d, F.log(F.col("_d") + 1e-9), 0.01, [COVERAGE]).select("_k", (F.col("_q0") + 0.005).alias("_cut"))
-            d = d.join(scratch.small(scratch.table(cut, "cut")), "_k").filter(F.log(F.col("_d") + 1e-9) <= F.col("_cut"))
-            factor = COVERAGE_FACTOR
-        else:
-            d, factor = d.filter(F.col("_d") <= REWEIGHT_CUT), REWEIGHT_FACTOR
-        est = scratch.table(_cholesky(_moments(d.select("_k", *X)), factor), "mcd")
-    return est
+    volume = lambda e: e.select("_k", sum((F.log(f"_l{i}{i}") for i in range(1, P)), F.log("_l00")).alias("_v"))
+    near = lambda: rows.join(scratch.small(est), "_k").withColumn("_d", _distance())
+    for _ in range(STEPS):  # concentrate on the closest COVERAGE of each group
+        d = near()
+        cut = _quantiles(d, F.log(F.col("_d") + 1e-9), 0.01, [COVERAGE]).select("_k", (F.col("_q0") + 0.005).alias("_cut"))
+        d = d.join(scratch.small(scratch.table(cut, "cut")), "_k").filter(F.log(F.col("_d") + 1e-9) <= F.col("_cut"))
+        new = scratch.table(_cholesky(_moments(d.select("_k", *X)), COVERAGE_FACTOR), "mcd")
+        moved = volume(new).join(volume(est).withColumnRenamed("_v", "_was"), "_k").agg(F.max(F.abs(F.col("_v") - F.col("_was")))).first()[0]
+        est = new
+        if moved is None or moved < SETTLED:
+            break
+    return scratch.table(_cholesky(_moments(near().filter(F.col("_d") <= REWEIGHT_CUT).select("_k", *X)), REWEIGHT_FACTOR), "mcd")
 
 
 def judged(counts: DataFrame, lang: str, source: str) -> DataFrame:
