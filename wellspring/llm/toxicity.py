@@ -30,7 +30,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +97,8 @@ class Index:
         self.ids, self.labels, self.block = np.asarray(ids, dtype=np.int64), np.asarray(labels, dtype=np.float64), block
         n, self.blocks = len(ids), max(1, -(-len(ids) // block))
         own = np.lexsort((term, example))
-        self.vector = (term[own].astype(np.int32), weight[own], np.searchsorted(example[own], np.arange(n + 1)))
+        self.vector = (term[own].astype(np.int32), weight[own].astype(np.float32), np.searchsorted(example[own], np.arange(n + 1)))
+        del own
         often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:dense]
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
@@ -113,7 +113,7 @@ class Index:
         self.longest = self.length.max(axis=1)
         example, term, weight = example[col < 0], term[col < 0], weight[col < 0]
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float64)
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
         key = term[order].astype(np.int64) * self.blocks + self.example // block
         first = np.flatnonzero(np.diff(key, prepend=-1))
         self.at = np.append(first, len(key)).astype(np.int32)  # postings of entry e: at[e] to at[e + 1]
@@ -234,6 +234,7 @@ def spelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[Index, pa.Array, np.ndarray, float]:
     """The index, its terms and their weights, and the share of label 1 among training documents."""
+    spark = docs.sparkSession
     train = docs.join(scratch.small(y, LABEL_ROWS), "doc_id").select("text", "y")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -244,17 +245,22 @@ def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> t
     # the driver gets the terms and postings of the index alone, bounded by max_chars
     terms = term_counts(train).join(post.select("term").distinct(), "term", "left_semi").toArrow().sort_by("term")
     names, weight = terms["term"].combine_chunks(), weights_of(terms["pos"].to_numpy(), terms["neg"].to_numpy(), pos, neg)
-    rows = post.select("doc_id", "y", "term", "tf").toArrow()
-    t = pc.index_in(rows["term"], names).to_numpy().astype(np.int64)
+    number = spark.createDataFrame(pa.table({"term": names, "t": pa.array(np.arange(len(names), dtype=np.int32))}))
+    rows = post.join(number, "term").select("doc_id", F.col("y").cast("tinyint").alias("y"), "t", "tf").toArrow()
     ids, e = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-    w = (1 + np.log(rows["tf"].to_numpy())) * weight[t]
-    w /= np.sqrt(np.bincount(e, w * w))[e]
     labels = np.zeros(len(ids))
     labels[e] = rows["y"].to_numpy()
-    lead = np.lexsort((t, -w, e))  # like by like, for sharp block bounds: examples in order of their weightiest term
-    lead_term = t[lead][np.flatnonzero(np.diff(e[lead], prepend=-1))]
-    rank = np.empty(len(ids), dtype=np.int64)
-    seat = np.lexsort((ids, lead_term))
+    t, tf = rows["t"].to_numpy(), rows["tf"].to_numpy()
+    del rows
+    order = np.argsort(e.astype(np.int64) * len(names) + t)
+    e, t, w = e[order].astype(np.int32), t[order], ((1 + np.log(tf[order])) * weight[t[order]]).astype(np.float32)
+    del order, tf
+    at = np.flatnonzero(np.diff(e, prepend=-1))
+    w /= np.sqrt(np.add.reduceat(w * w, at))[e]
+    best = np.flatnonzero(w == np.maximum.reduceat(w, at)[e])
+    lead = t[best[np.unique(e[best], return_index=True)[1]]]  # like by like, for sharp block bounds: examples in order of their weightiest term
+    seat = np.lexsort((ids, lead))
+    rank = np.empty(len(ids), dtype=np.int32)
     rank[seat] = np.arange(len(ids))
     return Index(rank[e], t, w, ids[seat], labels[seat], len(names)), names, weight, pos / (pos + neg)
 
@@ -270,6 +276,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
     y = scratch.table(y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")), "labels")
     index, names, weight, prior = build(docs, y, max_examples, max_chars)
     b = spark.sparkContext.broadcast((index, names, weight))  # bounded by max_examples and max_chars
+    label_of, index = index.labels, None  # the driver keeps no copy
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = b.value[0]
@@ -279,8 +286,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.float64())], names=["i", "v"])
 
     parts = spark.sparkContext.defaultParallelism
-    own = spark.range(0, len(index.ids), 1, parts).mapInArrow(own_votes, "i bigint, v double").filter("v is not null").toArrow()
-    slope, level = logistic(own["v"].to_numpy(), index.labels[own["i"].to_numpy()]) if own.num_rows else (0.0, 0.0)
+    own = spark.range(0, len(label_of), 1, parts).mapInArrow(own_votes, "i bigint, v double").filter("v is not null").toArrow()
+    slope, level = logistic(own["v"].to_numpy(), label_of[own["i"].to_numpy()]) if own.num_rows else (0.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names, weight = b.value
