@@ -148,21 +148,26 @@ class Attention:
         same = ids[:, None, :] == ids[:, first:, None]
         hit = e * same if train else np.multiply(e, same, out=e)
         p = (hit.sum(axis=2) + ez * base[:, first:]) / total
-        return p, ez / total, (q, k, e, ez, total, same, t, j, back)
+        return p, ez / total, (q, k, e, ez, total, hit, t, j, back)
 
     def step(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[float, np.ndarray]:
         """Mean loss of the scored positions and its gradient."""
-        p, _, (q, k, e, ez, total, same, t, j, back) = self.forward(prev, ids, base, first, True)
+        p, _, (q, k, e, ez, total, hit, t, j, back) = self.forward(prev, ids, base, first, True)
         live = ids[:, first:] >= 0
         n = max(1, int(live.sum()))
         g = np.where(live, 1.0 / np.maximum(p, 1e-12), 0.0).astype(np.float32) / n
-        ds = -(e / total[:, :, None]) * (same - p[:, :, None]) * g[:, :, None]  # 0 where masked
+        g0 = (g / total)[:, :, None]
+        e *= p[:, :, None] * g0  # e and hit are 0 where masked
+        hit *= g0
+        ds = np.subtract(e, hit, out=e)
         dz = -(ez / total) * (base[:, first:] - p) * g
         grad = Attention(np.zeros_like(self.flat), self.q.shape[0] - 1, self.q.shape[1], self.window)
-        np.add.at(grad.q, prev[:, first:], np.matmul(ds, k) * np.float32(self.scale))
-        np.add.at(grad.k, prev, np.matmul(ds.transpose(0, 2, 1), q) * np.float32(self.scale))
-        np.add.at(grad.bias, back, ds.sum(axis=0) * (t > j))
-        np.add.at(grad.sentinel, prev[:, first:], dz)
+        width = np.arange(self.q.shape[1])
+        rows = lambda at, x: np.bincount((at[..., None] * len(width) + width).ravel(), x.ravel(), minlength=self.q.size).reshape(self.q.shape)
+        grad.q[:] = rows(prev[:, first:], np.matmul(ds, k)) * self.scale
+        grad.k[:] = rows(prev, np.matmul(ds.transpose(0, 2, 1), q)) * self.scale
+        grad.bias[:] = np.bincount(back.ravel(), (ds.sum(axis=0) * (t > j)).ravel(), minlength=len(self.bias))
+        grad.sentinel[:] = np.bincount(prev[:, first:].ravel(), dz.ravel(), minlength=len(self.sentinel))
         return float(-(np.log(np.maximum(p, 1e-12)) * live).sum() / n), grad.flat
 
 
