@@ -26,7 +26,7 @@ from . import scratch
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MIN_GROUP = 50, 40
-STEPS, SETTLED = 30, 0.02  # concentration stops when no group's log determinant moves by SETTLED, at the latest after STEPS
+STEPS, SETTLED = 30, 0.02  # concentration stops when no group's log determinant falls by SETTLED, at the latest after STEPS
 INDEX_BITS = 20
 
 #: Least standard deviation of each feature: word length, symbols, repetition, duplicate lines.
@@ -146,14 +146,14 @@ def estimates(rows: DataFrame) -> DataFrame:
     est = scratch.table(start, "mcd")
     volume = lambda e: e.select("_k", sum((F.log(f"_l{i}{i}") for i in range(1, P)), F.log("_l00")).alias("_v"))
     near = lambda: rows.join(scratch.small(est), "_k").withColumn("_d", _distance())
-    for _ in range(STEPS):  # concentrate on the closest COVERAGE of each group
+    for step in range(STEPS):  # concentrate on the closest COVERAGE of each group
         d = near()
         cut = _quantiles(d, F.log(F.col("_d") + 1e-9), 0.01, [COVERAGE]).select("_k", (F.col("_q0") + 0.005).alias("_cut"))
         d = d.join(scratch.small(scratch.table(cut, "cut")), "_k").filter(F.log(F.col("_d") + 1e-9) <= F.col("_cut"))
         new = scratch.table(_cholesky(_moments(d.select("_k", *X)), COVERAGE_FACTOR), "mcd")
-        moved = volume(new).join(volume(est).withColumnRenamed("_v", "_was"), "_k").agg(F.max(F.abs(F.col("_v") - F.col("_was")))).first()[0]
+        moved = volume(new).join(volume(est).withColumnRenamed("_v", "_was"), "_k").agg(F.max(F.col("_was") - F.col("_v"))).first()[0]
         est = new
-        if moved is None or moved < SETTLED:
+        if moved is None or step >= 2 and moved < SETTLED:  # the start is no estimate yet, its volume tells nothing
             break
     return scratch.table(_cholesky(_moments(near().filter(F.col("_d") <= REWEIGHT_CUT).select("_k", *X)), REWEIGHT_FACTOR), "mcd")
 
