@@ -138,10 +138,11 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """rows (_k, features), stable when read twice -> minimum-covariance-determinant estimate per _k."""
-    start = None
-    for i in range(P):
-        q = _quantiles(rows, F.col(X[i]), 0.002, [0.25, 0.5, 0.75]).select(F.col("_k"), F.col("_q1").alias(f"_m{i}"), F.greatest((F.col("_q2") - F.col("_q0")) / 1.349, F.lit(FLOORS[i])).alias(f"_l{i}{i}"))
-        start = q if start is None else start.join(q, "_k")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(X[i]).alias("x")) for i in range(P)])).alias("_e")
+    q = _quantiles(rows.select(F.col("_k").alias("_g"), each).select(F.struct("_g", "_e.i").alias("_k"), F.col("_e.x").alias("_x")), F.col("_x"), 0.002, [0.25, 0.5, 0.75])
+    of = lambda i, v: F.max(F.when(F.col("_k.i") == i, v))
+    iqr = (F.col("_q2") - F.col("_q0")) / 1.349
+    start = q.groupBy(F.col("_k._g").alias("_k")).agg(*[of(i, F.col("_q1")).alias(f"_m{i}") for i in range(P)], *[of(i, F.greatest(iqr, F.lit(FLOORS[i]))).alias(f"_l{i}{i}") for i in range(P)])
     start = start.withColumns({f"_l{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})
     est = scratch.table(start, "mcd")
     volume = lambda e: e.select("_k", sum((F.log(f"_l{i}{i}") for i in range(1, P)), F.log("_l00")).alias("_v"))
