@@ -18,7 +18,8 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         out = down.join(least, "a").select("b", "m").union(least.select("a", "m")).toDF("a", "b")
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    out = out.filter(F.col("a") != F.col("b"))
+    return out if large else out.distinct()  # repeats of a large star, at most one an edge, go with those of the small star after it
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
