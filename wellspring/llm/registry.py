@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lm, mixing, quality, sharding, simhash, surrogates, toxicity, urls
+from . import decontaminate, extract, lm, mixing, quality, runs, sharding, simhash, surrogates, toxicity, urls
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_shard": sharding.op8_shard,
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
+    "op11_runs": runs.op11_runs,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,

@@ -76,15 +76,18 @@ class Words:
             return int(same.argmin())
         return low if new == low else checked[1] - i
 
+    def alike(self, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether the k words from i and from j >= i have the same hash."""
+        s, power = self.sums
+        return (s[i + k] - s[i]) * power[j - i] == s[j + k] - s[j]
+
     def extend(self, i: np.ndarray, j: np.ndarray, left: bool) -> np.ndarray:
         """LCEs of all pairs of places, to the right from i and j > i or to the left before them, by hashes."""
-        s, power = self.sums
-        shift = power[j - i]
         low, high = np.zeros(len(i), dtype=np.int64), (i if left else self.n - j).copy()
         while (open_ := low < high).any():
             m = (low + high + 1) // 2
             a, b = (i - m, j - m) if left else (i, j)
-            same = (s[a + m] - s[a]) * shift == s[b + m] - s[b]
+            same = self.alike(a, b, m)
             low, high = np.where(open_ & same, m, low), np.where(open_ & ~same, m - 1, high)
         return low
 
@@ -136,6 +139,9 @@ class Words:
             root, period = root[alike], period[alike]
             if not len(root):
                 continue
+            before = np.maximum(root - period, 0)
+            first = (root < period) | ~self.alike(before, root, np.where(root < period, 0, period))
+            root, period = root[first], period[first]  # a root that follows its like is one of the same run
             start = root - self.extend(root, root + period, True)
             length = root + period + self.extend(root, root + period, False) - start
             long = length >= np.maximum(MIN_LENGTH, MIN_PERIODS * period)
