@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lm, mixing, quality, runs, sharding, simhash, surrogates, toxicity, urls
+from . import decontaminate, extract, lm, mixing, quality, runs, sharding, simhash, surrogates, toxicity, trie, urls
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_urls": urls.op10_urls,
     "op11_runs": runs.op11_runs,
+    "op12_trie": trie.op12_trie,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_mix": mixing.ORACLE,
+    "op12_trie": trie.ORACLE,
 }
