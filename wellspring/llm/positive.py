@@ -5,8 +5,8 @@ that is learned from: labels of 0 are never read. The class prior is the share o
 estimated first: a classifier of trusted against unlabelled ranks the texts on one half of the rows, and on the other half every set of
 the best ranked bounds the prior from above by its share of the unlabelled over its share of the trusted rows; the least such bound, with
 its sampling error added, is the estimate. The quality model is a logistic one; its risk is
-``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])``, whose second part, an estimate of the negatives' risk, is kept from
-falling below 0: a step that would see it negative climbs back along that part alone.
+``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])``: where its second part, an estimate of the negatives' risk, would fall below 0
+(seen as a running mean over steps), that part has no gradient.
 
 Features are computed once, in one scan of the whole texts, and written as packed numbers: pairs of neighbouring character kinds (letters by case,
 digits, other scripts, white space, each ASCII sign for itself), hashed lower-case words, and surface statistics
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BUCKETS, RANK_ROUNDS, ROUNDS, RATE, DECAY = 8, 3, 8, 0.1, 1e-4
+BUCKETS, RANK_ROUNDS, ROUNDS, RATE, DECAY = 8, 3, 5, 0.1, 1e-4
+PAIR_SCALE, WORD_SCALE, SURFACE_SCALE = 4.0, 0.2, 2.0
+MEMORY = 0.75  # of the running mean of the negatives' risk
 WORDS = 1024
 BINS = 512
 LABEL_ROWS = 1_000_000
@@ -92,7 +94,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = raw.split()
     held = Counter(raw.lower().split())
     at = np.flatnonzero(pair)
-    value = np.sqrt(pair[at] / max(1, len(kind) - 1))
+    value = PAIR_SCALE * np.sqrt(pair[at] / max(1, len(kind) - 1))
     slot: dict[int, float] = {}
     for w, k in held.items():
         h = crc32(w)
@@ -101,14 +103,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own = np.array(sorted(slot), dtype=np.int64)
     v = np.array([slot[i] for i in own.tolist()])
     v = np.sign(v) * np.sqrt(np.abs(v))
-    v /= max(1.0, float(np.sqrt(v @ v)))
+    v *= WORD_SCALE / max(1.0, float(np.sqrt(v @ v)))
     surface_at, surface = [], []
     for x, knots, first in zip(stats(raw, words, np.bincount(kind, minlength=KINDS), len(held)), KNOTS, FIRST):
         x = min(max(x, knots[0]), knots[-1])
         i = min(int(np.searchsorted(knots, x, side="right")) - 1, len(knots) - 2)
         right = (x - knots[i]) / (knots[i + 1] - knots[i])
         surface_at += [PAIRS + WORDS + first + i, PAIRS + WORDS + first + i + 1]
-        surface += [1 - right, right]
+        surface += [SURFACE_SCALE * (1 - right), SURFACE_SCALE * right]
     at = np.concatenate([at, own, surface_at, [SIZE - 1]])
     value = np.concatenate([value, v, surface, [1.0]])
     some = value != 0
@@ -190,14 +192,16 @@ def biased(s: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def non_negative(prior: float) -> Callable[[dict[int, np.ndarray]], np.ndarray]:
-    """Gradient of the non-negative risk; where the negatives' part is below 0, a step back along that part."""
+    """Gradient of the non-negative risk, step by step: without the negatives' part while its running mean is below 0."""
+    mean = None
 
     def gradient(s: dict[int, np.ndarray]) -> np.ndarray:
+        nonlocal mean
         n_p, n_u = max(1.0, s[1][-3]), max(1.0, s[0][-3])
-        negative = s[0][SIZE : 2 * SIZE] / n_u - prior * s[1][SIZE : 2 * SIZE] / n_p
-        if s[0][-1] / n_u - prior * s[1][-1] / n_p < 0:
-            return -negative
-        return prior * s[1][:SIZE] / n_p + negative
+        risk = s[0][-1] / n_u - prior * s[1][-1] / n_p
+        mean = risk if mean is None else MEMORY * mean + (1 - MEMORY) * risk
+        out = prior * s[1][:SIZE] / n_p
+        return out if mean < 0 else out + s[0][SIZE : 2 * SIZE] / n_u - prior * s[1][SIZE : 2 * SIZE] / n_p
 
     return gradient
 

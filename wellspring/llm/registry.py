@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, extract, lm, mixing, quality, runs, sharding, simhash, surrogates, toxicity, trie, urls
+from . import decontaminate, extract, lm, mixing, positive, quality, runs, sharding, simhash, surrogates, toxicity, trie, urls
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_urls": urls.op10_urls,
     "op11_runs": runs.op11_runs,
     "op12_trie": trie.op12_trie,
+    "op13_quality": positive.op13_quality,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
