@@ -89,15 +89,6 @@ def test_chunking(spark):
     assert mine == list(range(len(mine)))
 
 
-def test_weight_grid(spark):
-    names = list(scoring.PILLARS)
-    g = calibration.weight_grid(spark, names)
-    assert g.count() == 20_664
-    assert g.select(sum(F.col(n) for n in names).alias("s")).distinct().collect()[0]["s"] == 100
-    assert calibration.weight_grid(spark, names, step=10).count() == 0
-    assert sum(scoring.PILLARS.values()) == 100
-
-
 def test_measures_guard_zero(spark):
     c = spark.createDataFrame([(0, 0, 0, 0), (5, 0, 5, 0)], "tp bigint, fp bigint, tn bigint, fn bigint")
     r = calibration.measures(c).orderBy("tp").collect()

@@ -1,10 +1,8 @@
-"""Calibration: confusion measures, weight grids, threshold search, drift and experiments."""
+"""Calibration: confusion measures, site splits and experiment arms; searches are in optimizer."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mod_hash
@@ -24,40 +22,6 @@ def measures(c: DataFrame) -> DataFrame:
     return c.withColumns({"accuracy": F.round(div(tp + tn, tp + fp + tn + fn), 6), "precision": F.round(div(tp, tp + fp), 6), "recall": F.round(div(tp, tp + fn), 6), "f1": F.round(div(2 * tp, 2 * tp + fp + fn), 6), "mcc": F.round(mcc, 6)})
 
 
-def weight_grid(spark: SparkSession, names: list[str], low: int = 5, high: int = 35, step: int = 5, total: int = 100) -> DataFrame:
-    """All weights low..high by step that sum to total, built one name at a time with impossible sums pruned.
-
-    The grid is a parameter space of fixed size; it does not grow with data.
-    """
-    g = spark.range(1).select(F.lit(0).alias("_s"))
-    for i, n in enumerate(names):
-        rest = len(names) - i - 1
-        g = g.withColumn(n, F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step)))).withColumn("_s", F.col("_s") + F.col(n))
-        g = g.filter((F.col("_s") <= total - rest * low) & (F.col("_s") >= total - rest * high))
-    return g.drop("_s")
-
-
-def grid_search(samples: DataFrame, grid: DataFrame, names: list[str], thresholds: list[int], actual: str) -> DataFrame:
-    """Measures of every weight row at every threshold; samples carry scores 0..100 in names and a boolean.
-
-    Samples are first collapsed to distinct score rows with counts, so the nested loop is grid rows x
-    distinct rows; the grid side is the broadcast one.
-    """
-    s = samples.groupBy(*names, actual).agg(F.count(F.lit(1)).alias("_n"))
-    g = grid.select(*[F.col(n).alias("w_" + n) for n in names])
-    score = reduce(lambda a, b: a + b, [F.col(n) * F.col("w_" + n) for n in names]) / 100
-    x = s.join(F.broadcast(g), F.lit(True)).withColumn("_score", score)
-    cells = []
-    for t in thresholds:
-        up, yes = F.col("_score") >= t, F.col(actual)
-        n = F.col("_n")
-        cells += [F.sum(F.when(c, n).otherwise(0)).alias(f"{k}_{t}") for k, c in (("tp", up & yes), ("fp", up & ~yes), ("tn", ~up & ~yes), ("fn", ~up & yes))]
-    w = ["w_" + n for n in names]
-    a = x.groupBy(*w).agg(*cells)
-    long = a.select(*w, F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{k}_{t}").alias(k) for k in ("tp", "fp", "tn", "fn")]) for t in thresholds])).alias("r"))
-    return measures(long.select(*w, "r.*"))
-
-
 def split_sites(df: DataFrame, site: str, when: str, share: float = 0.2) -> DataFrame:
     """df with holdout: the last max(1, share of sites) sites in order of first appearance."""
     first = df.groupBy(site).agg(F.min(when).alias("_first"))

@@ -79,28 +79,6 @@ def pillar_correlation(t):
     return c.select("pillar", "n_high", "n_low", F.when(ok, F.round(F.col("h") - F.col("l"), 6)).alias("effect"), (ok & F.coalesce(F.abs(F.col("h") - F.col("l")) > 0.1, F.lit(False))).alias("significant"))
 
 
-_GRID = "g AS (SELECT " + ", ".join(f"w{i}" for i in range(7)) + " FROM " + ", ".join(f"(SELECT unnest(range(5, 36, 5)) AS w{i})" for i in range(7)) + " WHERE " + " + ".join(f"w{i}" for i in range(7)) + " = 100)"
-
-
-@query("weight_grid_count", f"WITH {_GRID} SELECT count(*) AS n, min(w0) AS least, max(w0) AS most FROM g")
-def weight_grid_count(t):
-    return C.weight_grid(t("region").sparkSession, PILL).agg(F.count(F.lit(1)).alias("n"), F.min("technical").cast("bigint").alias("least"), F.max("technical").cast("bigint").alias("most"))
-
-
-_G3 = "g AS (SELECT w0, w1, w2 FROM (SELECT unnest(range(10, 81, 10)) AS w0), (SELECT unnest(range(10, 81, 10)) AS w1), (SELECT unnest(range(10, 81, 10)) AS w2) WHERE w0 + w1 + w2 = 100)"
-
-
-@query("weight_grid_search", f"""WITH {_G3}, s AS (SELECT n_chars % 11 * 10 AS x0, least(100, n_chars // 100) AS x1, doc_id % 21 * 5 AS x2, quality = 1 AS a FROM labels JOIN documents USING (doc_id)),
-h AS (SELECT unnest([30, 50, 70]) AS threshold), c AS (SELECT w0, w1, w2, threshold, {CONF} FROM (SELECT *, (x0 * w0 + x1 * w1 + x2 * w2) / 100 >= threshold AS p FROM s, g, h) GROUP BY ALL), m AS (SELECT *, {MEAS} FROM c)
-SELECT w0 AS w_x0, w1 AS w_x1, w2 AS w_x2, threshold, tp, fp, tn, fn, mcc FROM m""")
-def weight_grid_search(t):
-    n = F.col("n_chars")
-    s = t("labels").join(t("documents"), "doc_id").select((n % 11 * 10).alias("x0"), F.least(F.lit(100), F.floor(n / 100)).alias("x1"), (F.col("doc_id") % 21 * 5).alias("x2"), (F.col("quality") == 1).alias("a"))
-    grid = C.weight_grid(s.sparkSession, ["x0", "x1", "x2"], 10, 80, 10)
-    r = C.grid_search(s, grid, ["x0", "x1", "x2"], [30, 50, 70], "a")
-    return r.select(*[F.col(f"w_x{i}").cast("bigint").alias(f"w_x{i}") for i in range(3)], "threshold", "tp", "fp", "tn", "fn", "mcc")
-
-
 @query("threshold_grid_search", f"WITH {SAMPLE}, h AS (SELECT unnest(range(10, 91, 5)) AS threshold), c AS (SELECT threshold, {CONF} FROM (SELECT threshold, a, score >= threshold AS p FROM s, h) GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, {MEAS} FROM c")
 def threshold_grid_search(t):
     s = samples(t).withColumn("threshold", F.explode(F.sequence(F.lit(10), F.lit(90), F.lit(5)))).withColumn("p", F.col("score") >= F.col("threshold"))
