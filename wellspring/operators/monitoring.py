@@ -1,4 +1,4 @@
-"""Fixes, deltas, trends, alerts, link graph measures."""
+"""Fixes, deltas, trends and alerts."""
 
 from __future__ import annotations
 
@@ -43,11 +43,3 @@ def alerts(d: DataFrame, threshold: float = 40.0) -> DataFrame:
     """Drops below -5, rises of 10 or more, and crossings of the critical threshold."""
     kind = F.when((F.col("prev") >= threshold) & (F.col("score") < threshold), "critical").when(F.col("delta") < -5, "drop").when(F.col("delta") >= 10, "improvement")
     return d.withColumn("alert", kind).filter("alert IS NOT NULL")
-
-
-def graph_measures(edges: DataFrame) -> DataFrame:
-    """(node, inbound, outbound, reciprocal) of a directed edge table (src, dst) without repeats."""
-    back = edges.select(F.col("src").alias("b_dst"), F.col("dst").alias("b_src"))
-    both = edges.join(back, (F.col("src") == F.col("b_src")) & (F.col("dst") == F.col("b_dst")), "left_semi")
-    rows = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.lit(0).alias("r")).union(edges.select("dst", F.lit(0), F.lit(1), F.lit(0))).union(both.select("src", F.lit(0), F.lit(0), F.lit(1)))
-    return rows.groupBy("node").agg(F.sum("i").alias("inbound"), F.sum("o").alias("outbound"), F.sum("r").alias("reciprocal"))

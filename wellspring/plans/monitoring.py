@@ -1,4 +1,4 @@
-"""Fix, delta, trend, alert and link-graph queries."""
+"""Fix, delta, trend and alert queries."""
 
 from __future__ import annotations
 
@@ -54,25 +54,3 @@ def score_trend(t):
 @query("alert_rules", f"WITH {DAILY}, a AS (SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN prev >= 40 AND score < 40 THEN 'critical' WHEN delta < -5 THEN 'drop' WHEN delta >= 10 THEN 'improvement' END AS alert FROM dl) SELECT * FROM a WHERE alert IS NOT NULL")
 def alert_rules(t):
     return M.alerts(M.deltas(M.daily(t("events")))).select("user_id", F.col("day").cast("string").alias("day"), "alert")
-
-
-#: Links: customers as pages, an order line's supplier as the page linked to; nodes share one id space.
-EDGE = "e AS (SELECT DISTINCT o_custkey % 500 AS src, l_suppkey % 500 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 500 <> l_suppkey % 500)"
-
-
-def edges(t):
-    e = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst"))
-    return e.filter("src <> dst").distinct()
-
-
-@query("link_reciprocity", f"WITH {EDGE}, n AS (SELECT src AS node, 1 AS o, 0 AS i, 0 AS r FROM e UNION ALL SELECT dst, 0, 1, 0 FROM e UNION ALL SELECT e.src, 0, 0, 1 FROM e JOIN e b ON e.src = b.dst AND e.dst = b.src) SELECT node, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound, CAST(sum(r) AS BIGINT) AS reciprocal FROM n GROUP BY node")
-def link_reciprocity(t):
-    return M.graph_measures(edges(t))
-
-
-@query("topic_clusters", f"WITH {EDGE}, n AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e), g AS (SELECT node, sum(i) AS inbound, sum(o) AS outbound, node * 37 % 3000 AS words FROM n GROUP BY node) SELECT CASE WHEN words < 300 THEN 'thin' WHEN words >= 2000 AND outbound >= 5 THEN 'pillar' WHEN words BETWEEN 800 AND 2000 AND inbound > 0 THEN 'cluster' WHEN inbound = 0 THEN 'orphan' ELSE 'other' END AS kind, count(*) AS n FROM g GROUP BY 1")
-def topic_clusters(t):
-    """Page classes by length and degree: thin, pillar, cluster, orphan, other."""
-    w, i, o = F.col("node") * 37 % 3000, F.col("inbound"), F.col("outbound")
-    kind = F.when(w < 300, "thin").when((w >= 2000) & (o >= 5), "pillar").when(w.between(800, 2000) & (i > 0), "cluster").when(i == 0, "orphan").otherwise("other")
-    return M.graph_measures(edges(t)).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
