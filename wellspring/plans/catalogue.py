@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, extras, linkgraph, monitoring, optimizer, pages, pillars, relational, retrieval, scoring, texts  # noqa: F401
+from . import calibration, extras, linkgraph, monitoring, optimizer, pages, pillars, relational, retrieval, scoring, streams, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

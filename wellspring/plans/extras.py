@@ -58,13 +58,6 @@ def derived_questions(t):
     return x.select("doc_id", "q.topic", "q.rank")
 
 
-@query("next_runs", "SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(8 - isodow(o_orderdate) AS INT) AS DATE) AS VARCHAR) AS weekly, CAST(CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS monthly FROM orders")
-def next_runs(t):
-    """The Monday after, and the first of the next month."""
-    d = F.to_date("o_orderdate")
-    return t("orders").select("o_orderkey", F.next_day(d, "Mon").cast("string").alias("weekly"), F.add_months(F.trunc(d, "month"), 1).cast("string").alias("monthly"))
-
-
 @query("provider_consensus", r"WITH d AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+\.example\.[a-z]+')) AS domain FROM documents) SELECT domain, count(*) AS sources, count(*) >= 2 AS consensus FROM d GROUP BY domain")
 def provider_consensus(t):
     """Domains named by documents of at least two sources."""

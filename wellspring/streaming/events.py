@@ -24,10 +24,6 @@ def sliding(events: DataFrame, length: str = "7 days", slide: str = "1 day") ->
     return _late(events).groupBy(F.window("ts", length, slide)).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("value") > 50).cast("int")), 6).alias("accuracy"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    return _late(events).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def first_seen(events: DataFrame, keys: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
     """One row a key; on a stream, within the watermark."""
     if events.isStreaming:
