@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import microdata
+
 # Required and recommended fields by type.
 REQUIRED = {"Article": ["headline", "author", "datePublished"], "FAQPage": ["mainEntity"], "Organization": ["name", "url"], "Product": ["name"], "HowTo": ["name", "step"]}
 RECOMMENDED = {"Article": ["image", "dateModified", "publisher"], "FAQPage": [], "Organization": ["logo", "sameAs"], "Product": ["offers", "description"], "HowTo": ["image", "totalTime"]}
@@ -22,6 +24,14 @@ def instances(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return x.select(id_col, F.get_json_object("json", "$.@type").alias("type"), "json").filter("type IS NOT NULL")
 
 
+def scored(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, type, source, completeness) of every JSON-LD object and microdata item."""
+    ld = instances(pages, id_col, html_col).withColumn("source", F.lit("json-ld"))
+    items = microdata.items(pages, id_col, html_col).select(id_col, "type", F.to_json("properties").alias("json"), F.lit("microdata").alias("source"))
+    both = ld.unionByName(items)
+    return both.select(id_col, "type", "source", completeness(F.col("type"), F.col("json")).alias("completeness"))
+
+
 def completeness(kind: Column, json: Column) -> Column:
     """0.7 of the share of required and 0.3 of the share of recommended fields present; types without fields 1."""
     out = None

@@ -94,7 +94,8 @@ def image_alt(t):
 
 @query("schema_org")
 def schema_org(t):
-    return S.instances(t("pages")).select("page_id", "type", F.round(S.completeness(F.col("type"), F.col("json")), 4).alias("completeness"))
+    """Structured data of each page, JSON-LD and microdata, with the completeness of its fields."""
+    return S.scored(t("pages")).withColumn("completeness", F.round("completeness", 4))
 
 
 @query("authority_signals", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)href="(https?://[^"]+)"')) AS external, regexp_matches(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\b(PhD|Ph\.D|MD|M\.D\.|MBA|Professor)\b') AS credentials, regexp_matches(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '(?i)\b(our (data|research|study|survey)|we (found|analyzed|surveyed|measured|tested))\b') AS original FROM pages""")
