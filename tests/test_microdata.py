@@ -84,6 +84,6 @@ def test_items_equal_a_stack(spark):
 def test_items_feed_the_schema_scores(spark):
     df = spark.createDataFrame(list(PAGES.items()), "page_id bigint, html string")
     rows = {(r.page_id, r.type, r.source): round(r.completeness, 4) for r in S.scored(df).collect()}
-    assert rows[1, "Product", "microdata"] == 0.85 and rows[3, "Article", "microdata"] == 0.2333 and rows[3, "FAQPage", "microdata"] == 0.3
+    assert rows[1, "Product", "microdata"] == 50.0 and rows[3, "Article", "microdata"] == 23.3333 and rows[3, "FAQPage", "microdata"] == 15.0
     both = spark.createDataFrame([(9, '<script type="application/ld+json">{"@type":"Product","name":"x"}</script>' + PAGES[1])], "page_id bigint, html string")
     assert {(r.type, r.source) for r in S.scored(both).collect()} == {("Product", "json-ld"), ("Product", "microdata"), ("Offer", "microdata")}

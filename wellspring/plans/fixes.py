@@ -63,9 +63,9 @@ def patched_questions(t):
     return X.patched(X.affected(questions(t), once=True)).select("question_id", "reason", "score", "patched_score", "delta", F.col("patched_signals").cast("bigint").alias("patched_signals"), "patched_answerability")
 
 
-@query("patched_plan", f"""WITH {FIXES}, s AS (SELECT reason, count(*) AS questions, sum(round(patched_score - score, 6)) / (SELECT count(*) FROM benchmark) * 100 AS points, count(*) FILTER (WHERE round(patched_score - score, 6) > 0.01) AS improved, count(*) FILTER (WHERE round(patched_score - score, 6) > 0.05) AS much FROM pp GROUP BY reason)
-SELECT rank, reason, s.questions, improved, round(greatest(0, points * 0.8), 6) AS least, round(greatest(0, points), 6) AS expected, round(points * 1.2, 6) AS most, CASE WHEN much > 0.7 * s.questions THEN 'high' WHEN much > 0.3 * s.questions THEN 'medium' ELSE 'low' END AS confidence
-FROM s JOIN pl USING (reason) WHERE rank <= {X.TOP_FIXES}""")
+@query("patched_plan", f"""WITH {FIXES}, es AS (SELECT reason, count(*) AS questions, sum(round(patched_score - score, 6)) / (SELECT count(*) FROM benchmark) * 100 AS points, count(*) FILTER (WHERE round(patched_score - score, 6) > 0.01) AS improved, count(*) FILTER (WHERE round(patched_score - score, 6) > 0.05) AS much FROM pp GROUP BY reason)
+SELECT rank, reason, es.questions, improved, round(greatest(0, points * 0.8), 6) AS least, round(greatest(0, points), 6) AS expected, round(points * 1.2, 6) AS most, CASE WHEN much > 0.7 * es.questions THEN 'high' WHEN much > 0.3 * es.questions THEN 'medium' ELSE 'low' END AS confidence
+FROM es JOIN pl USING (reason) WHERE rank <= {X.TOP_FIXES}""")
 def patched_plan(t):
     """What the first five fixes would bring, from their re-scored questions, with a band of a fifth either way."""
     return X.estimates(questions(t))

@@ -98,6 +98,15 @@ def schema_org(t):
     return S.scored(t("pages")).withColumn("completeness", F.round("completeness", 4))
 
 
+@query("schema_pillar")
+def schema_pillar(t):
+    """Schema richness of each page as of the latest event; a page without structured data has the optional half of its how-to part alone."""
+    as_of = F.lit(t("events").agg(F.max("ts")).first()[0])
+    found = S.pillar(S.analysis(t("pages"), as_of)).select("page_id", "schemas", *[f"{k}_score" for k in S.PARTS], "total", "level")
+    none = {"schemas": 0, "how_to_score": 50.0, "total": 50.0 * S.PARTS["how_to"] / 100, "level": "limited"} | {f"{k}_score": 0.0 for k in S.PARTS if k != "how_to"}
+    return t("pages").select("page_id").join(found, "page_id", "left").fillna(none)
+
+
 @query("authority_signals", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)href="(https?://[^"]+)"')) AS external, regexp_matches(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '\b(PhD|Ph\.D|MD|M\.D\.|MBA|Professor)\b') AS credentials, regexp_matches(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '(?i)\b(our (data|research|study|survey)|we (found|analyzed|surveyed|measured|tested))\b') AS original FROM pages""")
 def authority_signals(t):
     return S.authority(t("pages")).select("page_id", "external", "credentials", "original")
