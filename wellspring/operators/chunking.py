@@ -1,19 +1,21 @@
 """Chunking: sections, paragraphs, lines or sentences packed to a token limit, small pieces merged.
 
-The packing is a fold over each text and runs as one Arrow pass; overlap, deduplication, headings
-and positions are column expressions over the chunk rows.
+Packing, overlap, deduplication and positions are folds over each text and run as one Arrow pass; types and token
+counts are column expressions over the chunk rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_type, content_hash, estimate_tokens
+from ..functions.text import chunk_type, estimate_tokens
 
 MOST, LEAST, OVERLAP = 512, 100, 50
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
@@ -83,38 +85,89 @@ def split(text: str | None, most: int = MOST, least: int = LEAST) -> list[str]:
     return merged
 
 
+SPACES = re.compile(r"[ \t\n\x0b\f\r]+")  # white space of the column expressions
+
+
+def led(prev: str | None, raw: str, words: int, most: int) -> str:
+    """with_overlap() of one chunk."""
+    if prev is None or not words:
+        return raw
+    lead = " ".join(SPACES.sub(" ", prev).strip(" ").split(" ")[-words:])
+    both = f"{lead} {raw}"
+    flat = SPACES.sub(" ", both).strip(" ")
+    return both if (len(flat.split(" ")) if flat else 0) * 13 // 10 <= most * 1.2 else raw
+
+
+def key(text: str) -> str:
+    """content_hash() of one chunk."""
+    return hashlib.md5(SPACES.sub(" ", text.lower()).strip(" ").encode()).hexdigest()[:12]
+
+
+def placed(text: str | None, most: int, least: int, overlap: int) -> list[tuple]:
+    """(content, hash, position ratio, heading) of a text's chunks in order, the first of equal ones.
+
+    A chunk is looked for from the end of the one found before; what is not found verbatim (overlap, merged pieces) is placed by
+    its number among the chunks. Its heading is the last one before it.
+    """
+    text = text or ""
+    raw = split(text, most, least)
+    heads = [(m.start(), m.group().lstrip("#").strip()) for m in HEADING.finditer(text)]
+    out, seen, at = [], set(), 0
+    for i, r in enumerate(raw):
+        content = led(raw[i - 1] if i else None, r, overlap, most)
+        h = key(content)
+        if h in seen:
+            continue
+        seen.add(h)
+        pos = text.find(content, at)
+        if pos >= 0:
+            at, ratio = pos + len(content), pos / len(text)
+        else:
+            ratio = i / len(raw)
+        before = bisect_left(heads, (pos if pos >= 0 else at,))
+        out.append((content, h, round(ratio, 3), heads[before - 1][1] if before else None))
+    return out
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk_index, content, chunk_type, token_count, content_hash, raw): deduplicated chunks with overlap."""
+    """(id, chunk_index, content, chunk_type, token_count, content_hash, position_ratio, heading): chunks with overlap, the first of equal ones of a row.
+
+    One pass over the rows, no shuffle: a text's chunks are made, led by overlap, deduplicated and placed where the text is.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [split(t.as_py(), most, least) for t in b.column(1)]
-            n = [len(p) for p in parts]
-            ids = pa.array([i for i, k in zip(b.column(0).to_pylist(), n) for _ in range(k)], b.column(0).type)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([i for k in n for i in range(k)], pa.int32()), pa.array([c for p in parts for c in p], pa.string())], names=["id", "i", "raw"])
+            ids, parts = [], []
+            for i, t in zip(b.column(0), b.column(1)):
+                own = placed(t.as_py(), most, least, overlap)
+                ids += [i.as_py()] * len(own)
+                parts += [(k, *c) for k, c in enumerate(own)]
+            cols = list(zip(*parts)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *map(pa.array, cols, kinds)], names=["id", "chunk_index", "content", "content_hash", "position_ratio", "heading"])
 
-    rows = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, i int, raw string")
-    return finish(rows, overlap, most).withColumnRenamed("id", id_col)
+    rows = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, chunk_index bigint, content string, content_hash string, position_ratio double, heading string")
+    out = rows.withColumns({"chunk_type": chunk_type(F.col("content")), "token_count": estimate_tokens(F.col("content"))})
+    return out.withColumnRenamed("id", id_col).select(id_col, "chunk_index", "content", "chunk_type", "token_count", "content_hash", "position_ratio", "heading")
+
+
+def page_stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, total_chunks, total_tokens, avg_chunk_size) of pages with any chunk."""
+    n, t = F.count(F.lit(1)), F.sum("token_count")
+    return chunks.groupBy(id_col).agg(n.alias("total_chunks"), t.alias("total_tokens"), F.round(t / n, 1).alias("avg_chunk_size"))
 
 
 def with_overlap(prev: Column, raw: Column, words: int, most: int) -> Column:
     """raw led by the last ``words`` words of prev, where that stays within 1.2 x most tokens."""
+    if not words:
+        return raw
     w = F.split(F.trim(F.regexp_replace(prev, r"\s+", " ")), " ")
     lead = F.array_join(F.slice(w, F.greatest(F.size(w) - words + 1, F.lit(1)), words), " ")
     both = F.concat(lead, F.lit(" "), raw)
     return F.when(prev.isNotNull() & (estimate_tokens(both) <= most * 1.2), both).otherwise(raw)
 
 
-def finish(rows: DataFrame, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
-    """rows (id, i, raw) -> overlap, type, tokens, hash; the first of equal chunks of a text stays, reindexed."""
-    w = Window.partitionBy("id").orderBy("i")
-    r = rows.withColumn("content", with_overlap(F.lag("raw").over(w), F.col("raw"), overlap, most))
-    r = r.withColumn("content_hash", content_hash(F.col("content")))
-    r = r.withColumn("_n", F.row_number().over(Window.partitionBy("id", "content_hash").orderBy("i"))).filter("_n = 1")
-    return r.select("id", (F.row_number().over(w) - 1).cast("bigint").alias("chunk_index"), "content", chunk_type(F.col("content")).alias("chunk_type"), estimate_tokens(F.col("content")).alias("token_count"), "content_hash", "raw")
-
-
 def heading_before(positions: Column, headings: Column) -> Column:
     """As-of lookup: the last of headings (array of (pos, text) in order) before a position; null if none."""
     return F.try_element_at(F.filter(headings, lambda h: h["pos"] < positions), F.lit(-1))["text"]

@@ -130,7 +130,15 @@ def chunk_documents(t):
     """Chunks of every document; a fold over each text, checked in tests against invariants."""
     from ..operators import chunking as C
 
-    return C.chunk(t("documents")).select("doc_id", "chunk_index", "chunk_type", "token_count", "content_hash")
+    return C.chunk(t("documents")).select("doc_id", "chunk_index", "chunk_type", "token_count", "content_hash", "position_ratio", "heading")
+
+
+@query("chunk_page_stats")
+def chunk_page_stats(t):
+    """Chunks, tokens and mean chunk size of every document."""
+    from ..operators import chunking as C
+
+    return C.page_stats(C.chunk(t("documents")))
 
 
 _PARA = r"p AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(s) AS x, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"
