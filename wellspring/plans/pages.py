@@ -163,15 +163,3 @@ def heading_questions(t):
         kind = F.when(fits, name) if kind is None else kind.when(fits, name)
     m = h.select("page_id", F.col("pos").cast("bigint").alias("pos"), kind.alias("kind")).filter("kind IS NOT NULL")
     return m.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter("n <= 2").drop("n")
-
-
-UNIVERSAL = [("UQ-01", "What does {company} do?", "identity", 1.5), ("UQ-02", "Who founded {company} and when was it established?", "identity", 1.0), ("UQ-03", "Where is {company} headquartered and where do they operate?", "identity", 1.0)]
-
-
-@query("question_expand", f"SELECT DISTINCT site, id, replace(q, '{{company}}', site) AS question, category, weight FROM (SELECT {HOST} AS site FROM pages), (VALUES {', '.join(f'''('{i}', '{q}', '{c}', {w}::DOUBLE)''' for i, q, c, w in UNIVERSAL)}) u(id, q, category, weight)")
-def question_expand(t):
-    """Each site's universal questions: templates are a literal array, exploded per site."""
-    sites = t("pages").select(F.coalesce(U.domain(F.col("url")), F.lit("")).alias("site")).distinct()
-    rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(q).alias("q"), F.lit(c).alias("category"), F.lit(w).alias("weight")) for i, q, c, w in UNIVERSAL])
-    x = sites.select("site", F.explode(rows).alias("u"))
-    return x.select("site", "u.id", F.replace(F.col("u.q"), F.lit("{company}"), F.col("site")).alias("question"), "u.category", "u.weight")
