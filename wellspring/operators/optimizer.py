@@ -42,14 +42,15 @@ def lattice(bounds: DataFrame, names: list[str], step: int, total: int = TOTAL)
     is built. Other columns of bounds stay. No shuffle.
     """
     g = bounds.withColumn("_sum", F.lit(0))
-    for i, n in enumerate(names):
+    for i, n in enumerate(names[:-1]):
         low = sum((F.col(f"lo_{m}") for m in names[i + 1 :]), F.lit(0))
         high = sum((F.col(f"hi_{m}") for m in names[i + 1 :]), F.lit(0))
         first, last = F.greatest(F.col(f"lo_{n}"), total - high - F.col("_sum")), F.least(F.col(f"hi_{n}"), total - low - F.col("_sum"))
-        first = (F.ceil(first / step) * step).cast("int")
-        g = g.withColumn("_first", first).withColumn("_last", last.cast("int")).filter("_first <= _last")
-        g = g.withColumn(n, F.explode(F.sequence("_first", "_last", F.lit(step)))).withColumn("_sum", F.col("_sum") + F.col(n))
-    return g.filter(F.col("_sum") == total).drop("_sum", "_first", "_last", *[f"{e}_{n}" for n in names for e in ("lo", "hi")])
+        g = g.withColumns({"_first": (F.ceil(first / step) * step).cast("int"), "_last": last.cast("int")}).filter("_first <= _last")
+        g = g.withColumn(n, F.explode(F.sequence("_first", "_last", F.lit(step)))).withColumn("_sum", F.col("_sum") + F.col(n)).drop("_first", "_last", f"lo_{n}", f"hi_{n}")
+    n = names[-1]  # what is left to the total
+    g = g.withColumn(n, total - F.col("_sum")).filter((F.col(n) >= F.col(f"lo_{n}")) & (F.col(n) <= F.col(f"hi_{n}")) & (F.col(n) % step == 0))
+    return g.drop("_sum", f"lo_{n}", f"hi_{n}")
 
 
 def around(centers: DataFrame, names: list[str], radius: int, step: int) -> DataFrame:

@@ -90,6 +90,7 @@ SELECT * FROM full_grid UNION ALL SELECT * FROM within_10_by_5 UNION ALL SELECT
 def weight_grid_count(t):
     """Rows of the full grid and of the grids near each site's weights, enumerated and counted."""
     c = centers(t)
+    c = c.repartition(c.sparkSession.sparkContext.defaultParallelism)  # few rows, many grid rows each
     full = c.select("site", *[F.lit(v).alias(f"{e}_{n}") for n in P for e, v in (("lo", O.LEAST), ("hi", O.MOST))])
     out = None
     for kind, bounds, step in (("full_grid", full, 5), ("within_10_by_5", O.around(c, P, 10, 5), 5), ("within_10_by_2", O.around(c, P, 10, 2), 2)):
