@@ -145,19 +145,3 @@ def hashed_embeddings(t):
     d = t("documents").select("doc_id", "text", X.content_hash(F.col("text")).alias("h"))
     once = E.hashed_vectors(d.groupBy("h").agg(F.min_by("text", "doc_id").alias("text")), "h", "text")
     return d.select("doc_id", "h").join(once, "h").select("doc_id", "embedding")
-
-
-_STRUCT = {"heading": 25, "answer": 25, "faq": 20, "links": 15, "formats": 15}
-
-
-@query("structure_pillar")
-def structure_pillar(t):
-    """Page structure of heading, answer-first, question, link and format scores; checked by its parts' oracles."""
-    from . import pages as P
-
-    h = P.heading_audit(t).select("page_id", F.col("score").alias("heading"), F.when(F.col("faq"), 100).when(F.col("questions") > 0, 50).otherwise(0).alias("faq"))
-    a = P.answer_first(t).select("page_id", F.col("score").alias("answer"))
-    li, fo = P.link_audit(t).select("page_id", F.col("score").alias("links")), P.extractable_formats(t).select("page_id", F.col("score").alias("formats"))
-    j = t("pages").select("page_id").join(h, "page_id", "left").join(a, "page_id", "left").join(li, "page_id", "left").join(fo, "page_id", "left")
-    total = sum((F.coalesce(F.col(k), F.lit(0)) * w / 100 for k, w in _STRUCT.items()), F.lit(0.0))
-    return j.select("page_id", F.round(total, 4).alias("structure"))
