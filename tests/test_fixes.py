@@ -125,3 +125,13 @@ def test_phrases_and_empty(spark):
     none = spark.createDataFrame([], DDL)
     assert X.plan(X.affected(none), ["site"]).count() == X.estimates(none, ["site"]).count() == 0
     assert X.totals(X.estimates(none)).first().confidence == "low"
+
+
+def test_terms_of_other_sources(spark):
+    efforts = {"Low": "low", "HIGH": "high", "5 minutes": "low", "1 hour": "low", "2-4 hours": "medium", "8 hours": "high", "some hours": "medium", "2 days": "high", "a week": "high", "unknown": "medium", None: "medium"}
+    df = spark.createDataFrame([(k,) for k in efforts], "e string")
+    assert {r.e: r.x for r in df.select("e", X.effort_level(F.col("e")).alias("x")).collect()} == efforts
+    priorities = {"critical": 1, "High": 2, "medium": 3, "low": 4, "2": 2, "odd": 3, None: 3}
+    df = spark.createDataFrame([(k,) for k in priorities], "p string")
+    got = {r.p: (r.n, r.i) for r in df.select("p", X.priority_number(F.col("p")).alias("n")).withColumn("i", X.impact_level(F.col("n"))).collect()}
+    assert {k: n for k, (n, _) in got.items()} == priorities and got["critical"][1] == "critical" and got["low"][1] == "low"

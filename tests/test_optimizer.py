@@ -176,3 +176,10 @@ def test_experiment(spark):
         assert r.chi2 == pytest.approx(chi2, abs=1e-9) and r.p_value == pytest.approx(math.erfc(math.sqrt(chi2 / 2)), abs=1e-10)
     assert [got[i].winner for i in "abcdefgh"] == ["treatment", "none", None, "none", None, "control", None, None]
     assert got["e"].significant and not got["e"].ready
+
+
+def test_health(spark):
+    rows = [(0.8, 0.1, 0.1), (0.8, 0.2, 0.0), (0.7, 0.15, 0.15), (0.5, 0.3, 0.2), (0.75, 0.15, 0.15), (0.6, 0.25, 0.26)]
+    got = O.health(spark.createDataFrame(rows, "accuracy double, over_rate double, under_rate double")).collect()
+    assert [r.status for r in got] == ["healthy", "acceptable", "acceptable", "needs_attention", "healthy", "needs_attention"]
+    assert [r.advice for r in got] == [[], ["optimism:medium"], ["accuracy:medium"], ["accuracy:high", "optimism:high", "pessimism:medium"], [], ["accuracy:medium", "optimism:medium", "pessimism:high"]]

@@ -168,3 +168,24 @@ def totals(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     high = F.count_if(F.col("confidence") == "high")
     level = F.when(F.count(F.lit(1)) == 0, "low").when(high > F.count(F.lit(1)) / 2, "high").otherwise("medium")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("fixes"), *[F.round(F.coalesce(F.sum(c), F.lit(0.0)), 6).alias(c) for c in ("least", "expected", "most")], level.alias("confidence"))
+
+
+# Other sources' fixes in the same terms
+
+
+def effort_level(effort: Column) -> Column:
+    """low, medium or high of a level or a description such as "2-4 hours"; medium where neither is known."""
+    e = F.lower(F.coalesce(effort, F.lit("")))
+    hours = F.try_to_number(F.regexp_extract(e, r"(\d+)", 1), F.lit("9999999999"))
+    by_hours = F.when(hours <= 1, "low").when(hours <= 4, "medium").when(hours.isNotNull(), "high").otherwise("medium")
+    return F.when(e.isin("low", "medium", "high"), e).when(F.contains(e, F.lit("minute")), "low").when(F.contains(e, F.lit("hour")), by_hours).when(F.contains(e, F.lit("day")) | F.contains(e, F.lit("week")), "high").otherwise("medium")
+
+
+def priority_number(priority: Column) -> Column:
+    """1 to 4 of critical, high, medium or low; a number as it is; 3 where neither is known."""
+    p = F.lower(F.coalesce(priority.cast("string"), F.lit("")))
+    return F.coalesce(lookup(p, {"critical": 1, "high": 2, "medium": 3, "low": 4}), p.try_cast("int"), F.lit(3))
+
+
+def impact_level(priority: Column) -> Column:
+    return F.when(priority == 1, "critical").when(priority == 2, "high").when(priority == 3, "medium").otherwise("low")

@@ -319,3 +319,15 @@ def experiment(arms: DataFrame, min_arm: int = MIN_ARM, min_samples: int = 30) -
     ready = (F.col("control_n") >= min_samples) & (F.col("treatment_n") >= min_samples)
     winner = F.when(ready, F.when(~F.col("significant"), "none").when(F.col("difference") > 0, "treatment").otherwise("control"))
     return out.withColumns({"ready": ready, "winner": winner})
+
+
+# Health
+
+
+def health(measured: DataFrame) -> DataFrame:
+    """rows with accuracy, over_rate and under_rate -> with status, and codes of what to look at."""
+    a, over, under = F.col("accuracy"), F.col("over_rate"), F.col("under_rate")
+    status = F.when((a >= 0.75) & (over <= 0.15) & (under <= 0.15), "healthy").when((a >= 0.6) & (over <= 0.25) & (under <= 0.25), "acceptable").otherwise("needs_attention")
+    bias = lambda c, name: F.when(c > 0.25, f"{name}:high").when(c > 0.15, f"{name}:medium")
+    advice = F.array_compact(F.array(F.when(a < 0.6, "accuracy:high").when(a < 0.75, "accuracy:medium"), bias(over, "optimism"), bias(under, "pessimism")))
+    return measured.withColumns({"status": status, "advice": advice})

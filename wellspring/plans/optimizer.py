@@ -211,3 +211,15 @@ def ab_analysis(t):
     a = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(control).alias("control_n"), F.count_if(control & ok).alias("control_right"), F.count_if(~control).alias("treatment_n"), F.count_if(~control & ok).alias("treatment_right"))
     r = O.experiment(a)
     return r.select(F.col("day").cast("string").alias("day"), "control_n", "treatment_n", F.round("difference", 6).alias("difference"), F.round("chi2", 6).alias("chi2"), F.round("p_value", 8).alias("p_value"), "significant", "winner")
+
+
+@query("calibration_health", f"""WITH {SAMPLES}, f AS (SELECT site, ({_SCORE(lambda n: O.DEFAULTS[n], 0)}) >= {100 * O.START_THRESHOLD} AS p, cited FROM whole_samples), c AS (SELECT site, {_CONF} FROM f GROUP BY site),
+r AS (SELECT site, tp + fp + tn + fn AS n, (tp + tn) / (tp + fp + tn + fn) AS a, fp / (tp + fp + tn + fn) AS o, fn / (tp + fp + tn + fn) AS u FROM c)
+SELECT site, n AS samples, round(a, 6) AS accuracy, CASE WHEN n < 20 THEN 'insufficient_data' WHEN a >= 0.75 AND o <= 0.15 AND u <= 0.15 THEN 'healthy' WHEN a >= 0.6 AND o <= 0.25 AND u <= 0.25 THEN 'acceptable' ELSE 'needs_attention' END AS status,
+array_to_string(list_filter([CASE WHEN a < 0.6 THEN 'accuracy:high' WHEN a < 0.75 THEN 'accuracy:medium' END, CASE WHEN o > 0.25 THEN 'optimism:high' WHEN o > 0.15 THEN 'optimism:medium' END, CASE WHEN u > 0.25 THEN 'pessimism:high' WHEN u > 0.15 THEN 'pessimism:medium' END], lambda x: x IS NOT NULL), ',') AS advice FROM r""")
+def calibration_health(t):
+    """Whether each site's predictions hold under the default weights, and what to look at; below twenty samples nothing is said of the status."""
+    found = O.weighted({n: F.lit(w) for n, w in O.DEFAULTS.items()}, F.lit(0)) >= 100 * O.START_THRESHOLD
+    h = O.health(O.rates(O.confusion(O.covered(samples(t)), found, ["site"])))
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return h.select("site", n.alias("samples"), F.round("accuracy", 6).alias("accuracy"), F.when(n < 20, "insufficient_data").otherwise(F.col("status")).alias("status"), F.array_join("advice", ",").alias("advice"))

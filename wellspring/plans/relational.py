@@ -86,6 +86,12 @@ def count_subquery(t):
     return t("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 10").agg(F.count(F.lit(1)).alias("customers"))
 
 
+@query("prefix_lookup", "SELECT min(o_orderkey) AS o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '12%'")
+def prefix_lookup(t):
+    """The least order whose key as text begins with a prefix: a filtered minimum in place of a sorted limit of one."""
+    return t("orders").filter(F.col("o_orderkey").cast("string").like("12%")).agg(F.min("o_orderkey").alias("o_orderkey"))
+
+
 @query("stream_tumbling", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS correct FROM events GROUP BY ALL")
 def stream_tumbling(t):
     """Batch form; tests/test_streaming.py compares the streaming run with it."""
