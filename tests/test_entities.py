@@ -28,3 +28,19 @@ def test_hashed_vectors(spark):
     d = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta alpha BETA"), (3, ""), (4, None)], "k bigint, t string")
     v = {r.k: r.embedding for r in E.hashed_vectors(d, "k", "t", 16).collect()}
     assert abs(sum(x * x for x in v[1]) - 1) < 1e-6 and v[1] == v[2] and v[3] == v[4] == [0.0] * 16
+
+
+def test_word_edges_are_those_of_the_sql(spark, tmp_path):
+    """Edges beside letters outside ASCII, vertical tabs and usually ignored names count as in DuckDB."""
+    import duckdb
+
+    from wellspring.plans import catalogue
+
+    texts = ["\u00c9Jean Martin", "Jean Mart\u00edn Paul", "\u00e9CamelCase", "CamelCase\u00df", "New\x0bYork", "New York and GitHub", "Acme Corp", "", None]
+    spark.createDataFrame([(i, 0, "assistant", x) for i, x in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    for q in ("competitor_counts", "text_parser_flags", "heuristic_depth"):
+        got = catalogue.QUERIES[q](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[q]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), q

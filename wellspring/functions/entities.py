@@ -20,8 +20,9 @@ IGNORED = (
     "wikipedia reddit quora stackoverflow youtube twitter linkedin facebook instagram tiktok github medium substack google bing yahoo duckduckgo chrome safari firefox microsoft apple amazon aws europe london "
     "json html http https api url seo roi saas crm cms erp smtp ssl gdpr"
 ).split() + ["stack overflow", "united states", "north america", "south america", "new york", "san francisco", "los angeles"]
-MULTI = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
-CAMEL = r"\b[A-Z][a-z]*[A-Z]\w*\b"
+# Word edges and white space are ASCII, as RE2 takes them; Java's \b goes by all letters and its \s has the vertical tab.
+MULTI = r"(?<!\w)[A-Z][a-z]+(?:[\t\n\f\r ]+[A-Z][a-z]+)+(?!\w)"
+CAMEL = r"(?<!\w)[A-Z][a-z]*[A-Z]\w*(?!\w)"
 
 
 def parse_date(s: Column) -> Column:
@@ -38,10 +39,11 @@ def company_variations(name: Column) -> Column:
     return F.array_distinct(F.filter(F.array(n, bare, plain, F.when(F.length(first) >= 3, first)), lambda x: x.isNotNull() & (x != "")))
 
 
-def competitors(text: Column, company: str, domain: str) -> Column:
+def competitors(text: Column, company: str, domain: str, ignored: list[str] = IGNORED) -> Column:
     """How many distinct capitalised phrases or CamelCase words are neither the company nor ignored."""
+    text = F.coalesce(text, F.lit(""))
     found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(MULTI), 0), F.filter(F.regexp_extract_all(text, F.lit(CAMEL), 0), lambda x: F.length(x) > 2)))
-    keep = F.filter(found, lambda x: ~F.lower(x).isin(IGNORED) & ~F.contains(F.lower(x), F.lit(company.lower())) & ~F.contains(F.lower(x), F.lit(domain.lower())))
+    keep = F.filter(found, lambda x: ~F.lower(x).isin(ignored) & ~F.contains(F.lower(x), F.lit(company.lower())) & ~F.contains(F.lower(x), F.lit(domain.lower())))
     return F.size(keep).cast("bigint")
 
 

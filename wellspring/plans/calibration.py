@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.entities import MULTI
 from ..operators import calibration as C
 from .base import query
 
@@ -132,7 +133,7 @@ def text_parser_flags(t):
     c = t("conversations").filter("role = 'assistant'")
     low = F.lower("text")
     tone = F.when(low.rlike("i cannot|i can't|unable to"), "refused").when(low.rlike("might|perhaps|possibly|may be"), "hedged").otherwise("plain")
-    return c.select("conv_id", "turn", F.contains(low, F.lit(BRAND)).alias("mentioned"), F.col("text").rlike("https?://").alias("has_url"), F.regexp_count("text", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")).cast("bigint").alias("proper_nouns"), tone.alias("tone"))
+    return c.select("conv_id", "turn", F.contains(low, F.lit(BRAND)).alias("mentioned"), F.col("text").rlike("https?://").alias("has_url"), F.regexp_count("text", F.lit(MULTI)).cast("bigint").alias("proper_nouns"), tone.alias("tone"))
 
 
 _POS = f"(instr(lower(text), '{BRAND}') - 1) / length(text)"
@@ -165,7 +166,7 @@ def brand_framing(t):
 b AS (SELECT others, least(5, CASE framing WHEN 'absent' THEN -9 WHEN 'authoritative' THEN 4 WHEN 'recommended' THEN 3 WHEN 'listed' THEN 1 ELSE 2 END + CAST(url AS INT)) AS base FROM f),
 d AS (SELECT CASE WHEN base < 0 THEN 0 WHEN others >= 5 AND base > 2 THEN 2 WHEN others >= 3 AND base > 3 THEN 3 ELSE base END AS depth FROM b) SELECT depth, count(*) AS n FROM d GROUP BY depth""")
 def heuristic_depth(t):
-    f = t("conversations").select(framing(F.col("text")).alias("f"), F.col("text").rlike("https?://|@").cast("int").alias("url"), F.regexp_count("text", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")).alias("others"))
+    f = t("conversations").select(framing(F.col("text")).alias("f"), F.col("text").rlike("https?://|@").cast("int").alias("url"), F.regexp_count("text", F.lit(MULTI)).alias("others"))
     base = F.least(F.lit(5), F.when(F.col("f") == "authoritative", 4).when(F.col("f") == "recommended", 3).when(F.col("f") == "listed", 1).otherwise(2) + F.col("url"))
     depth = F.when(F.col("f") == "absent", 0).when((F.col("others") >= 5) & (base > 2), 2).when((F.col("others") >= 3) & (base > 3), 3).otherwise(base)
     return f.select(depth.alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
