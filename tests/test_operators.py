@@ -118,3 +118,39 @@ def test_crawl_sources(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "page_0000.html").write_text("<p>x</p>\n<p>y</p>")
     assert crawl.read_pages(spark, str(tmp_path)).first().html == "<p>x</p>\n<p>y</p>"
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_vector_search_holds_one_tile(spark, monkeypatch, metric):
+    """Rows and queries go through tiles; the k best, ties by id, are those of the whole product."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    v = np.random.default_rng(3).normal(size=(60, 4)).round(1)
+    v[40:] = v[:20]  # ties
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(3)
+    got = retrieval.vector_search(rows, rows.filter("vec_id % 3 = 0"), k=5, metric=metric)
+    f = v.astype(np.float32).astype(float)
+    want = {}
+    for i in range(0, 60, 3):
+        s = f @ f[i] if metric == "cosine" else 1 - np.sqrt(((f - f[i]) ** 2).sum(axis=1))
+        s = np.round(s, 6)
+        want[i] = [(j, s[j]) for j in sorted(range(60), key=lambda j: (-s[j], j))[:5]]
+    out = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.id, r.score))
+    assert out == {i: [(j, pytest.approx(s, abs=2e-6)) for j, s in x] for i, x in want.items()}
+    top = retrieval.Top(3, 2)
+    for a in range(0, 30, 5):
+        top.add(np.arange(15.0).reshape(3, 5) % 4 + a, np.arange(a, a + 5))
+        assert len(top.id) <= 6 and len(top.query) == len(top.score) == len(top.id)
+
+
+def test_chunks_are_made_of_small_slices():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 10, None, "", "b" * 95, "c" * 400, "d", "e"])], names=["id", "text"])
+    cut = list(chunking.slices(b, 100))
+    assert pa.Table.from_batches(cut) == pa.Table.from_batches([b])
+    assert [x.num_rows for x in cut] == [3, 1, 1, 2]
+    assert list(chunking.slices(b.slice(0, 0))) == []

@@ -11,13 +11,16 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_type, estimate_tokens
 
 MOST, LEAST, OVERLAP = 512, 100, 50
+SLICE_BYTES = 2_000_000
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
 ABBREVIATION = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Jr|Sr|[A-Z])\.$")
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -129,6 +132,16 @@ def placed(text: str | None, most: int, least: int, overlap: int) -> list[tuple]
     return out
 
 
+def slices(b: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of b (id, text) of about ``size`` bytes of text, one row at least, so that only so much is held as chunks at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
     """(id, chunk_index, content, chunk_type, token_count, content_hash, position_ratio, heading): chunks with overlap, the first of equal ones of a row.
 
@@ -138,14 +151,15 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts = [], []
-            for i, t in zip(b.column(0), b.column(1)):
-                own = placed(t.as_py(), most, least, overlap)
-                ids += [i.as_py()] * len(own)
-                parts += [(k, *c) for k, c in enumerate(own)]
-            cols = list(zip(*parts)) or [()] * 5
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), *map(pa.array, cols, kinds)], names=["id", "chunk_index", "content", "content_hash", "position_ratio", "heading"])
+            for x in slices(b):
+                ids, parts = [], []
+                for i, t in zip(x.column(0), x.column(1)):
+                    own = placed(t.as_py(), most, least, overlap)
+                    ids += [i.as_py()] * len(own)
+                    parts += [(k, *c) for k, c in enumerate(own)]
+                cols = list(zip(*parts)) or [()] * 5
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, x.column(0).type), *map(pa.array, cols, kinds)], names=["id", "chunk_index", "content", "content_hash", "position_ratio", "heading"])
 
     rows = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, chunk_index bigint, content string, content_hash string, position_ratio double, heading string")
     out = rows.withColumns({"chunk_type": chunk_type(F.col("content")), "token_count": estimate_tokens(F.col("content"))})

@@ -2,7 +2,7 @@
 
 Grids are parameter spaces of fixed size; samples are data. A search multiplies blocks of weight rows with blocks of distinct
 score rows inside tasks (one matrix product a block) and keeps mergeable counts by score bin, so each task reads its samples once
-for all thresholds and the shuffle carries counts alone.
+for all thresholds, holds at most SEGMENT of them and the product of one block, and the shuffle carries counts alone.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MIN_COVERAGE, MIN_SAMPLES, MIN_TRAIN_SITES, MIN_HELD_SITES = 70, 200, 10, 3
 MIN_ARM = 20
 
 CODE = 101  # weights as digits of one number: its order is that of the weight rows
-ROWS = 2048  # weight rows a block
+ROWS, COLUMNS, SEGMENT = 1024, 2048, 250_000  # weight rows and score rows a block, score rows a task holds
 
 
 # Lattices
@@ -111,6 +111,20 @@ def rates(c: DataFrame) -> DataFrame:
 # Search
 
 
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about SEGMENT rows each."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= SEGMENT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def counts(samples: DataFrame, grid: np.ndarray, thresholds: list[int], bonuses: list[int], names: list[str] = PILLARS) -> DataFrame:
     """samples (names as integers 0..100, primacy, cited) -> (code, bonus, threshold, tp, fp, tn, fn) for each weight row, bonus and threshold.
 
@@ -125,25 +139,25 @@ def counts(samples: DataFrame, grid: np.ndarray, thresholds: list[int], bonuses:
     shared = spark.sparkContext.broadcast(grid.astype(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        x = np.stack([t[n].to_numpy() for n in names]).astype(np.float32)
-        primacy, n = t["primacy"].to_numpy().astype(np.float32), t["n"].to_numpy().astype(np.float64)
-        side = t["cited"].to_numpy().astype(np.int64) * bins
         powers = CODE ** np.arange(len(names) - 1, -1, -1, dtype=np.int64)
         fields = ["code", "bonus", *[f"c{i}" for i in range(2 * bins)]]
-        for at in range(0, len(shared.value), ROWS):
-            w = shared.value[at : at + ROWS]
-            base = w.astype(np.float32) @ x  # 100 times the score, exact in single precision
-            row = np.arange(len(w))[:, None] * (2 * bins) + side
-            for b in bonuses:
-                passed = np.floor((base + b * primacy - 100 * thresholds[0]) / (100 * step)).astype(np.int64) + 1
-                cell = row + np.clip(passed, 0, bins - 1)
-                c = np.bincount(cell.ravel(), np.broadcast_to(n, cell.shape).ravel(), minlength=len(w) * 2 * bins)
-                c = c.reshape(len(w), 2 * bins).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64) @ powers), pa.array(np.full(len(w), b, dtype=np.int32)), *[pa.array(c[:, i]) for i in range(2 * bins)]], names=fields)
+        for t in segments(batches):  # bytes of scores; as floats only a block at once
+            for at in range(0, len(shared.value), ROWS):
+                w = shared.value[at : at + ROWS]
+                total = np.zeros((len(bonuses), len(w) * 2 * bins), dtype=np.int64)
+                for i in range(0, t.num_rows, COLUMNS):
+                    part = t.slice(i, COLUMNS)
+                    x = np.stack([part[n].to_numpy() for n in names]).astype(np.float32)
+                    primacy, n = part["primacy"].to_numpy().astype(np.float32), part["n"].to_numpy().astype(np.float64)
+                    base = w.astype(np.float32) @ x  # 100 times the score, exact in single precision
+                    row = np.arange(len(w))[:, None] * (2 * bins) + part["cited"].to_numpy(zero_copy_only=False).astype(np.int64) * bins
+                    for k, b in enumerate(bonuses):
+                        passed = np.floor((base + b * primacy - 100 * thresholds[0]) / (100 * step)).astype(np.int64) + 1
+                        cell = row + np.clip(passed, 0, bins - 1)
+                        total[k] += np.bincount(cell.ravel(), np.broadcast_to(n, cell.shape).ravel(), minlength=len(w) * 2 * bins).astype(np.int64)
+                for k, b in enumerate(bonuses):
+                    c = total[k].reshape(len(w), 2 * bins)
+                    yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64) @ powers), pa.array(np.full(len(w), b, dtype=np.int32)), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(2 * bins)]], names=fields)
 
     ddl = "code bigint, bonus int, " + ", ".join(f"c{i} bigint" for i in range(2 * bins))
     summed = rows.mapInArrow(run, ddl).groupBy("code", "bonus").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(2 * bins)])
