@@ -154,3 +154,20 @@ def test_chunks_are_made_of_small_slices():
     assert pa.Table.from_batches(cut) == pa.Table.from_batches([b])
     assert [x.num_rows for x in cut] == [3, 1, 1, 2]
     assert list(chunking.slices(b.slice(0, 0))) == []
+
+
+def test_bm25_rows_scored_in_place(spark, monkeypatch):
+    """Few queries are scored where the rows are: as joined postings, with no shuffle of postings or pairs of all rows."""
+    texts = ["red fox red", "blue fox", "", None, "green hill over blue hill", "fox fox fox fox", "red hill"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    queries = spark.createDataFrame([(50, "red red fox"), (7, "hill blue unseen"), (8, "nothing"), (9, None)], "item_id bigint, text string")
+    fast = retrieval.bm25(docs, queries, k=4)
+    assert "SortMergeJoin" not in fast._jdf.queryExecution().toString() and "MapInArrow" in fast._jdf.queryExecution().toString()
+    got = sorted(map(tuple, fast.collect()))
+    twice = docs.union(docs.filter("doc_id = 1"))  # ids that clash go by postings
+    both = sorted(map(tuple, retrieval.bm25(twice, queries, k=4).collect()))
+    monkeypatch.setattr(retrieval, "DENSE_CELLS", 0)
+    slow = retrieval.bm25(docs, queries, k=4)
+    assert "MapInArrow" not in slow._jdf.queryExecution().toString()
+    assert got == sorted(map(tuple, slow.collect())) and len(got) == 8
+    assert both == sorted(map(tuple, retrieval.bm25(twice, queries, k=4).collect()))
