@@ -197,6 +197,17 @@ def classes(base: DataFrame, bits: int = BITS, blocks: int | None = None, edges:
     return base.join(all_ids, F.col("fp") == F.col("_ofp"), "left").drop("_ofp")
 
 
+def print_pairs(base: DataFrame, bits: int = BITS) -> DataFrame:
+    """base (_print, fp, ...) -> pairs (a, b) of unlike fp whose fingerprints _print are equal or linked, one of each fingerprint with the others."""
+    own = scratch.table(base.select("_print", "fp").distinct(), "prints")
+    least = scratch.table(own.groupBy("_print").agg(F.min("fp").alias("a")), "prints")
+    within = own.join(least, "_print").select("a", F.col("fp").alias("b"))
+    found = scratch.table(links(least.select(F.col("_print").alias("fp")), bits), "links")
+    left = found.join(least.withColumnRenamed("_print", "_left"), found["a"] == F.col("_left")).select(least["a"].alias("x"), found["b"].alias("_right"))
+    across = left.join(least, F.col("_right") == F.col("_print")).select("x", F.col("a").alias("y"))
+    return within.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -204,7 +215,8 @@ def hex_of(fp: Column) -> Column:
 def dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, jaccard: bool = False) -> DataFrame:
     """docs with one row of every component of near copies; columns unchanged.
 
-    With ``jaccard`` near copies are texts of exact five-word Jaccard similarity 0.8 or more, whatever their fingerprints.
+    Near copies are texts whose fingerprints link at ``bits`` or fewer differing bits. With ``jaccard`` such a link must pass an exact
+    check of five-word Jaccard similarity 0.8, and a set join adds the pairs of that similarity that fingerprints do not tell.
     """
     cols = docs.columns
     keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)]
@@ -214,8 +226,9 @@ def dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shin
     if jaccard:
         from . import jaccard as sets
 
-        base = scratch.table(sets.with_signature(docs, keys, F.col(text)), "fp")
-        c = classes(base, edges=sets.links(base, docs.select(F.col(text).alias("text"))))
+        own = with_fingerprint(docs, [*keys, F.col(text)], F.col(text), shingle).withColumnRenamed("fp", "_print")
+        base = scratch.table(sets.with_signature(own, [F.col(x) for x in ("doc_id", "_h", "_print")], F.col(text)), "fp")
+        c = classes(base, edges=sets.links(base, docs.select(F.col(text).alias("text")), print_pairs(base, bits)))
     else:
         base = scratch.table(with_fingerprint(docs, keys, F.col(text), shingle), "fp")
         c = classes(base, bits)
