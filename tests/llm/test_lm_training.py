@@ -57,3 +57,28 @@ def test_score_matches_brute_force(spark):
         at = end
     got = {r.doc_id: r.score for r in lm.score(docs).collect()}
     assert abs(got[3] - want) < 1e-3 * abs(want)
+
+
+def test_sums_of_parts_are_the_sum_of_the_whole():
+    rng = np.random.default_rng(5)
+    m = lm.Attention(vocab=9, width=4, window=8)
+    ids, prev, base = rng.integers(-1, 9, (6, 8)), rng.integers(0, 10, (6, 8)), rng.uniform(0.05, 0.4, (6, 8)).astype(np.float32)
+    whole, parts = lm.Sums(m), lm.Sums(m)
+    whole.add(prev, ids, base, 4)
+    for i in range(6):
+        parts.add(prev[i : i + 1], ids[i : i + 1], base[i : i + 1], 4)
+    assert whole.n == parts.n == (ids[:, 4:] >= 0).sum()
+    assert np.allclose(whole.gradient(), parts.gradient(), atol=1e-5)
+
+
+def test_a_worker_spells_a_word_once():
+    path = lm.tokenizer_path()
+    speller = lm.Speller(np.ones((lm.BUCKETS, lm.VOCAB + 1)), np.ones((lm.VOCAB + 1, lm.VOCAB + 1)), lm.VOCAB)
+    words, asked = lm.words_of(path, speller), []
+    many = words.spelling.many
+    words.spelling.many = lambda new: asked.extend(new) or many(new)
+    first = words.types([b"red", b"green", b"red"])
+    again = lm.words_of(path, speller).counted({b"green": 4}).types([b"green", b"red", b"blue"])
+    assert asked == [b"red", b"green", b"blue"]
+    assert first.tolist() == [0, 1, 0] and again.tolist() == [1, 0, 2]
+    assert words.count[again].tolist() == [4, 0, 0]

@@ -30,13 +30,14 @@ from __future__ import annotations
 
 import base64
 import math
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,6 @@ HEAD = 200_000
 LEAST, MOST = 0.002, 0.95  # of the gate
 BUCKETS = 1 << 11  # at most (BUCKETS + VOCAB + 1) * (VOCAB + 1) counts reach the driver: 50 MB
 STEPS, RATE = 8, 0.08
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 END = b" "  # cannot be a word
 SLICE_WORDS = 200_000
 
@@ -129,46 +129,78 @@ class Attention:
         np.clip(self.flat, -4.0 - 0.25 * width, 4.0 + 0.25 * width, out=self.flat)  # logits stay far from overflow
         self.window, self.scale = window, 1.0 / math.sqrt(width)
 
-    def forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int, train: bool = False):
-        """Probability of ids[:, first:], of windows (n, window); positions of id -1 are padding.
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp of every logit of a query and a key subword, of the bias by distance and of the sentinel, of the parameters as they are at first use.
+
+        A query whose logits are beyond 60 has all of them lowered alike, which changes no share.
+        """
+        e = np.matmul(self.q * np.float32(self.scale), self.k.T)
+        over = np.maximum(np.maximum(e.max(axis=1) + self.bias.max(), self.sentinel) - np.float32(60.0), np.float32(0.0))
+        return np.exp(e - over[:, None]).ravel(), np.exp(self.bias), np.maximum(np.exp(self.sentinel - over), np.float32(1e-30))
+
+    def _forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int, train: bool = False):
+        """forward() with positions in rows and windows in columns, one distance after another."""
+        w, rows = ids.shape[1], self.q.shape[0]
+        table, bias, sentinel = self.tables
+        prev, ids, base = np.ascontiguousarray(prev.T, dtype=np.intp), np.ascontiguousarray(ids.T, dtype=np.int32), np.ascontiguousarray(base.T[first:])
+        at, ez, lags = prev[first:] * rows, sentinel[prev[first:]], []
+        total, hit = ez.copy(), ez * base
+        for back in range(1, w):
+            t = max(first, back)
+            pair = at[t - first :] + prev[t - back : w - back]
+            e = np.take(table, pair, mode="clip")
+            e *= bias[min(back, self.window - 1)]
+            total[t - first :] += e
+            same = np.flatnonzero(ids[t:] == ids[t - back : w - back])
+            hit[t - first :].reshape(-1)[same] += e.reshape(-1)[same]
+            if train:
+                lags.append((back, t - first, pair, e, same))
+        return hit / total, ez / total, (prev, ids, base, total, lags)
+
+    def forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of ids[:, first:], of windows (n, window), and the sentinel's weight there; positions of id -1 are padding.
 
         Masked attention: position t sees values j < t of its own window.
         """
-        w = ids.shape[1]
-        q = self.q[prev[:, first:]]
-        k = self.k[prev]
-        e = np.matmul(q * np.float32(self.scale), k.transpose(0, 2, 1))
-        t, j = np.arange(first, w)[:, None], np.arange(w)[None, :]
-        back = np.clip(t - j, 0, self.window - 1)
-        e += np.where(t > j, self.bias[back], np.float32(-1e9))[None]
-        np.minimum(e, np.float32(60.0), out=e) if train else None
-        np.exp(e, out=e)
-        ez = np.exp(np.minimum(self.sentinel[prev[:, first:]], np.float32(60.0)))
-        total = e.sum(axis=2) + ez
-        same = ids[:, None, :] == ids[:, first:, None]
-        hit = e * same if train else np.multiply(e, same, out=e)
-        p = (hit.sum(axis=2) + ez * base[:, first:]) / total
-        return p, ez / total, (q, k, e, ez, total, hit, t, j, back)
+        p, z, _ = self._forward(prev, ids, base, first)
+        return p.T, z.T
 
     def step(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[float, np.ndarray]:
         """Mean loss of the scored positions and its gradient."""
-        p, _, (q, k, e, ez, total, hit, t, j, back) = self.forward(prev, ids, base, first, True)
-        live = ids[:, first:] >= 0
-        n = max(1, int(live.sum()))
-        g = np.where(live, 1.0 / np.maximum(p, 1e-12), 0.0).astype(np.float32) / n
-        g0 = (g / total)[:, :, None]
-        e *= p[:, :, None] * g0  # e and hit are 0 where masked
-        hit *= g0
-        ds = np.subtract(e, hit, out=e)
-        dz = -(ez / total) * (base[:, first:] - p) * g
-        grad = Attention(np.zeros_like(self.flat), self.q.shape[0] - 1, self.q.shape[1], self.window)
-        width = np.arange(self.q.shape[1])
-        rows = lambda at, x: np.bincount((at[..., None] * len(width) + width).ravel(), x.ravel(), minlength=self.q.size).reshape(self.q.shape)
-        grad.q[:] = rows(prev[:, first:], np.matmul(ds, k)) * self.scale
-        grad.k[:] = rows(prev, np.matmul(ds.transpose(0, 2, 1), q)) * self.scale
-        grad.bias[:] = np.bincount(back.ravel(), (ds.sum(axis=0) * (t > j)).ravel(), minlength=len(self.bias))
-        grad.sentinel[:] = np.bincount(prev[:, first:].ravel(), dz.ravel(), minlength=len(self.sentinel))
-        return float(-(np.log(np.maximum(p, 1e-12)) * live).sum() / n), grad.flat
+        sums = Sums(self)
+        sums.add(prev, ids, base, first)
+        return sums.loss / max(1, sums.n), (sums.gradient() / max(1, sums.n)).astype(np.float32)
+
+
+class Sums:
+    """Loss of a model and its derivatives by the logit of each pair of subwords, by distance and by sentinel, summed over windows."""
+
+    def __init__(self, model: Attention):
+        rows = model.q.shape[0]
+        self.model, self.n, self.loss = model, 0, 0.0
+        self.pair, self.bias, self.sentinel = np.zeros(rows * rows), np.zeros(model.window), np.zeros(rows)
+
+    def add(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> None:
+        p, z, (prev, ids, base, total, lags) = self.model._forward(prev, ids, base, first, True)
+        live, least = ids[first:] >= 0, np.maximum(p, np.float32(1e-12))
+        self.n += int(live.sum())
+        self.loss -= float(np.log(least[live]).sum(dtype=np.float64))
+        g = np.where(live, 1 / least, np.float32(0.0))
+        g0 = g / total
+        dense = p * g0
+        for back, t, pair, e, same in lags:
+            ds = e * dense[t:]
+            ds.reshape(-1)[same] -= e.reshape(-1)[same] * g0[t:].reshape(-1)[same]
+            self.bias[min(back, self.model.window - 1)] += ds.sum(dtype=np.float64)
+            np.add.at(self.pair, pair.ravel(), ds.ravel().astype(np.float64))
+        dz = -z * (base - p) * g
+        self.sentinel += np.bincount(prev[first:].ravel(), dz.ravel(), minlength=len(self.sentinel))
+
+    def gradient(self) -> np.ndarray:
+        """By parameter, in the order of the model's."""
+        m, pair = self.model, self.pair.reshape(len(self.sentinel), -1) * self.model.scale
+        return np.concatenate([(pair @ m.k).ravel(), (pair.T @ m.q).ravel(), self.bias, self.sentinel])
 
 
 def adam(params: np.ndarray, grads: Iterator[np.ndarray], rate: float = RATE) -> np.ndarray:
@@ -188,28 +220,37 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # the next number
         self.ids, self.p = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
         self.start, self.go, self.count = np.zeros(1, dtype=np.int64), np.zeros(0), np.zeros(0)
 
     def types(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > self.most:
             self.clear()
-        out = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        miss = np.flatnonzero(out < 0)
-        if len(miss):
-            new = list(dict.fromkeys(words[i] for i in miss))
+        old = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.number) > old:
+            new = list(islice(self.number, old, None))
             v = self.speller.vocab
             flat, at = self.spelling.many(new)
             n = np.diff(np.concatenate([[0], at])) - 1
             p, go = self.speller.spell(flat, at)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
             self.ids, self.p, self.go = np.concatenate([self.ids, flat[flat != v]]), np.concatenate([self.p, p]), np.concatenate([self.go, go])
-            self.count = np.concatenate([self.count, np.fromiter(map(self.head.get, new, repeat(0)), dtype=np.float64, count=len(new))])
-            out[miss] = [self.number[words[i]] for i in miss]
+            self.count = np.concatenate([self.count, self._counts(new)])
         return out
 
+    def _counts(self, words) -> np.ndarray:
+        return np.fromiter(map(self.head.get, words, repeat(0)), dtype=np.float64, count=len(words))
+
+    def counted(self, head: dict[bytes, int]) -> Words:
+        """From now on counts are those of head."""
+        if head is not self.head:
+            self.head = head
+            self.count = self._counts(self.number)
+        return self
+
     def gather(self, types: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Subword ids, base probabilities and the end offset of each word."""
         n = self.start[types + 1] - self.start[types]
@@ -218,6 +259,16 @@ class Words:
         return self.ids[at], self.p[at], ends
 
 
+_spelled: list[Words] = []
+
+
+def words_of(path: str, speller: Speller) -> Words:
+    """The Python worker's spelled words under this speller; its later tasks find what earlier ones have spelled."""
+    if not _spelled or _spelled[0].speller is not speller:
+        _spelled[:] = [Words(Spelling(path), speller)]
+    return _spelled[0]
+
+
 def windows(ids: np.ndarray, base: np.ndarray, bos: int, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A text as overlapping windows (n, window) of prev, ids and base, all scored from window - stride on.
 
@@ -235,14 +286,14 @@ def windows(ids: np.ndarray, base: np.ndarray, bos: int, window: int = WINDOW, s
     return p[at], x[at], b[at]
 
 
-def scored(model: Attention, docs: list[tuple[np.ndarray, np.ndarray]], batch: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+def scored(model: Attention, docs: list[tuple[np.ndarray, np.ndarray]], batch: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
     """Probability of each subword of each text (ids, base), and the sentinel's weight there."""
     lead, out = WINDOW - STRIDE, []
     parts = [windows(i, b, VOCAB) for i, b in docs]
     if not parts:
         return out
     prev, ids, base = (np.concatenate(x) for x in zip(*parts))
-    got = [model.forward(prev[i : i + batch], ids[i : i + batch], base[i : i + batch], lead)[:2] for i in range(0, len(ids), batch)]
+    got = [model.forward(prev[i : i + batch], ids[i : i + batch], base[i : i + batch], lead) for i in range(0, len(ids), batch)]
     p, z = (np.concatenate(x) for x in zip(*got))
     at = 0
     for (i, _), part in zip(docs, parts):
@@ -253,7 +304,7 @@ def scored(model: Attention, docs: list[tuple[np.ndarray, np.ndarray]], batch: i
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    return WORD.findall(text.lower()) if text else []
+    return text.lower().split() if text else []  # at \x20 and \x09-\x0d
 
 
 def held_out():
@@ -321,28 +372,30 @@ def fit(train_docs: DataFrame, speller, path: str, steps: int = STEPS) -> np.nda
         params = model.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, now, rows, total, seen = Words(Spelling(path), speller.value), Attention(params), [], np.zeros(size), 0
+            words, sums, texts, size = words_of(path, speller.value), Sums(Attention(params)), [], 0
 
             def flush() -> None:
-                nonlocal total, seen
-                prev, ids, base = (np.concatenate(x) for x in zip(*rows))
-                rows.clear()
-                for a in range(0, len(ids), 256):
-                    n = int((ids[a : a + 256, WINDOW - STRIDE :] >= 0).sum())
-                    total += now.step(prev[a : a + 256], ids[a : a + 256], base[a : a + 256], WINDOW - STRIDE)[1].astype(np.float64) * n
-                    seen += n
+                toks = [w for w in map(tokens, texts) if w]
+                texts.clear()
+                if not toks:
+                    return
+                ids, base, ends = words.gather(words.types([x for w in toks for x in w]))
+                cut = np.concatenate([[0], ends[np.cumsum([len(w) for w in toks]) - 1]])
+                prev, ids, base = (np.concatenate(x) for x in zip(*(windows(ids[a:b], base[a:b], VOCAB) for a, b in zip(cut, cut[1:]))))
+                for a in range(0, len(ids), 1024):
+                    sums.add(prev[a : a + 1024], ids[a : a + 1024], base[a : a + 1024], WINDOW - STRIDE)
 
             for b in batches:
                 for t in _texts(b, 0):
-                    if w := tokens(t.as_py()):
-                        ids, base, _ = words.gather(words.types(w))
-                        rows.append(windows(ids, base, VOCAB))
-                        if sum(len(r[0]) for r in rows) > 2000:
-                            flush()
-            if rows:
-                flush()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, seen, dtype=np.int64))], names=["i", "x", "n"])
+                    texts.append(t.as_py())
+                    size += len(texts[-1] or b"")
+                    if size > 6 * SLICE_WORDS:
+                        flush()
+                        size = 0
+            flush()
+            if sums.n:
+                total = sums.gradient()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), sums.n, dtype=np.int64))], names=["i", "x", "n"])
 
         own = train_docs.filter(F.pmod(F.xxhash64("text"), F.lit(steps)) == step).select("text")
         got = own.mapInArrow(run, "i bigint, x double, n bigint").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
@@ -371,7 +424,7 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
         from pyspark import TaskContext
 
         rid = TaskContext.get().partitionId() << 40
-        words, model = Words(Spelling(path), speller.value, known.value), Attention(params)
+        words, model = words_of(path, speller.value).counted(known.value), Attention(params)
         names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "word", "psub", "gate"]
         types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.float64(), pa.float64()]
         c_end = known.value.get(END, 0)
@@ -406,14 +459,12 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
         for b in batches:
             kind = b.column(0).type
             text, i = _texts(b, 2), 0
+            upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
             while i < b.num_rows:
-                j, size = i, 0
-                while j < b.num_rows and (j == i or size < 6 * SLICE_WORDS):
-                    size += len(text[j].as_py() or b"")
-                    j += 1
+                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 6 * SLICE_WORDS)) + 1
                 part = b.slice(i, j - i)
                 yield from emit(part.column(0), part.column(1), text.slice(i, j - i).to_pylist(), rid)
-                rid, i = rid + j - i, j
+                rid, i = rid + part.num_rows, i + part.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("h"), "text").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, word binary, psub double, gate double")
