@@ -177,6 +177,16 @@ class Index:
         return float((s @ self.labels[i] + 0.05 * self.labels.mean()) / (s.sum() + 0.05)), i
 
 
+_indexes: list[tuple[tuple, Index]] = []
+
+
+def index_of(examples: tuple) -> Index:
+    """The Python worker's index of the broadcast examples, made by its first task; the driver makes none."""
+    if not _indexes or _indexes[0][0] is not examples:
+        _indexes[:] = [(examples, Index(*examples))]
+    return _indexes[0][1]
+
+
 def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """TF-IDF weights of one text over index terms, of length 1."""
     w = (1 + np.log(tf)) * weight[terms]
@@ -232,15 +242,15 @@ def spelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "term").agg(F.max("y").alias("y"), F.max("tf").alias("tf"))  # rows of one id and text are one example
 
 
-def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[Index, pa.Array, np.ndarray, float]:
-    """The index, its terms and their weights, and the share of label 1 among training documents."""
+def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> tuple[tuple, pa.Array, np.ndarray, float]:
+    """What Index takes, its terms and their weights, and the share of label 1 among training documents."""
     spark = docs.sparkSession
     train = docs.join(scratch.small(y, LABEL_ROWS), "doc_id").select("text", "y")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     none = np.zeros(0, dtype=np.int64)
     if not pos or not neg:
-        return Index(none, none, none.astype(float), none, none, 0), pa.array([], pa.string()), np.zeros(0), pos / max(pos + neg, 1)
+        return (none, none, none.astype(float), none, none, 0), pa.array([], pa.string()), np.zeros(0), pos / max(pos + neg, 1)
     post = scratch.table(spelled(docs, examples_of(docs, y, max_examples, max_chars)), "examples")
     # the driver gets the terms and postings of the index alone, bounded by max_chars
     terms = term_counts(train).join(post.select("term").distinct(), "term", "left_semi").toArrow().sort_by("term")
@@ -262,7 +272,7 @@ def build(docs: DataFrame, y: DataFrame, max_examples: int, max_chars: int) -> t
     seat = np.lexsort((ids, lead))
     rank = np.empty(len(ids), dtype=np.int32)
     rank[seat] = np.arange(len(ids))
-    return Index(rank[e], t, w, ids[seat], labels[seat], len(names)), names, weight, pos / (pos + neg)
+    return (rank[e], t, w, ids[seat], labels[seat], len(names)), names, weight, pos / (pos + neg)
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -274,12 +284,12 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
     docs = docs.select("doc_id", "text")
     y = labels.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != 0))
     y = scratch.table(y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y")), "labels")
-    index, names, weight, prior = build(docs, y, max_examples, max_chars)
-    b = spark.sparkContext.broadcast((index, names, weight))  # bounded by max_examples and max_chars
-    label_of, index = index.labels, None  # the driver keeps no copy
+    examples, names, weight, prior = build(docs, y, max_examples, max_chars)
+    b = spark.sparkContext.broadcast((examples, names, weight))  # bounded by max_examples and max_chars
+    label_of, examples = np.asarray(examples[4], dtype=np.float64), None  # the driver keeps no copy
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = b.value[0]
+        index = index_of(b.value[0])
         term, weight, cut = index.vector
         for batch in batches:
             v = [index.vote(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], k, i)[0] for i in batch.column(0).to_numpy()]
@@ -290,7 +300,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
     slope, level = logistic(own["v"].to_numpy(), label_of[own["i"].to_numpy()]) if own.num_rows else (0.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, names, weight = b.value
+        examples, names, weight = b.value
+        index = index_of(examples)
         number = dict(zip(names.to_pylist(), range(len(names))))
         for batch in batches:
             out, near = [], []
