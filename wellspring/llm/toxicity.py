@@ -8,7 +8,8 @@ idf the cosine of a long text is ruled by words that say nothing about the label
 
 The inverted lists are cut into blocks of ``BLOCK`` examples with each term's largest weight per block:
 blocks are searched in falling order of their bound until the k-th best cosine cannot be
-beaten, so the neighbours are exactly those of a full scan (ties: lower example first).
+beaten, so the neighbours are exactly those of a full scan (ties: lower example first). The most frequent
+terms stand in a table, whose part of the cosines is one matrix product for ``TILE`` texts.
 
 Votes are weighted by cosine and calibrated by a logistic curve fitted to the examples' own
 leave-one-out votes. The neighbours' ids are the evidence. Texts are scored whole, in one scan.
@@ -26,7 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,26 @@ from pyspark.sql import functions as F
 from . import scratch
 
 TERM = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES, MAX_CHARS, BLOCK, DENSE, GROUPS, K = 8192, 64_000_000, 128, 512, 32, 15
+MAX_EXAMPLES, MAX_CHARS, BLOCK, DENSE, K = 8192, 64_000_000, 128, 512, 15
+TILE, NEAR = 64, 2e-5  # texts scored together; more than single precision moves a cosine
 SMOOTH, LEAST = 5.0, 0.01
 LABEL_ROWS = 1_000_000
+SPACED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def words(text: str) -> list[str]:
+    """What TERM finds in a text, sooner: all else becomes spaces."""
+    if not text.isascii():
+        odd = [c for c in set(text) if c > "\x7f" and (not c.isalnum() or c.isdecimal())]
+        if len(odd) > 32:
+            return TERM.findall(text)
+        for c in odd:
+            text = text.replace(c, " ")
+    return text.encode().translate(SPACED).decode().split()
 
 
 def term_freqs(text: str | None) -> Counter:
-    return Counter(TERM.findall(text.lower())) if text else Counter()
+    return Counter(words(text.lower())) if text else Counter()
 
 
 def remainder(doc: Column, mod: int) -> Column:
@@ -88,9 +102,8 @@ class Index:
     """Unit vectors of examples: an inverted index with block maxima, and a dense table of the most frequent terms.
 
     Postings lie in order of term, then example; an entry is one term's run of postings in one block. The
-    ``dense`` terms of most postings stand in a table (examples x terms) instead of lists: their part of
-    a cosine is at most the sum over ``GROUPS`` groups of these terms of the product of the two vectors' lengths
-    there, which enters the block bounds and picks the examples whose cosine is worked out in full.
+    ``dense`` terms of most postings stand in a table (examples x terms) instead of lists: a matrix product gives
+    their part of every cosine, and its largest in a block enters the block's bound.
     """
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, n_terms: int, block: int = BLOCK, dense: int = DENSE):
@@ -103,14 +116,8 @@ class Index:
         self.column = np.full(n_terms, -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
         col = self.column[term]
-        self.table = np.zeros((n, len(often)), dtype=np.float32)
+        self.table = np.zeros((self.blocks * block, len(often)), dtype=np.float32)
         self.table[example[col >= 0], col[col >= 0]] = weight[col >= 0]
-        self.group = np.arange(len(often)) * GROUPS // max(len(often), 1)
-        length = np.zeros((self.blocks * block, GROUPS), dtype=np.float32)
-        for g in range(GROUPS):
-            length[:n, g] = np.sqrt(np.square(self.table[:, self.group == g]).sum(axis=1))
-        self.length = length.reshape(self.blocks, block, GROUPS)
-        self.longest = self.length.max(axis=1)
         example, term, weight = example[col < 0], term[col < 0], weight[col < 0]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
@@ -121,63 +128,76 @@ class Index:
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.entry = np.searchsorted(key[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
-    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine (to six decimals) with weights q of terms (all, if fewer), best first, without example ``but``."""
-        at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(terms) or not len(self.ids):
-            return at, best
+    def spread(self, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Weights q of the terms that stand in the table, by column."""
         col = self.column[terms]
-        common, rare = col >= 0, col < 0
         qd = np.zeros(self.table.shape[1], dtype=np.float32)
-        qd[col[common]] = q[common]
-        size = np.sqrt(np.bincount(self.group, np.square(qd), minlength=GROUPS)).astype(np.float32)
+        qd[col[col >= 0]] = q[col >= 0]
+        return qd
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1, common: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest positive cosine (to six decimals) with weights q of terms (all, if fewer), best first, without example ``but``.
+
+        common: spread(), its product with the table and the largest of each block, if known.
+        """
+        if not len(terms) or not len(self.ids):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        if common is None:
+            qd = self.spread(terms, q)
+            part = self.table @ qd
+            common = qd, part, part.reshape(self.blocks, self.block).max(axis=1)
+        qd, part, peak = common
+        rare = self.column[terms] < 0
         e, n = ranges(self.entry[terms[rare]], self.entry[terms[rare] + 1])
         qe, blk = np.repeat(q[rare], n), self.in_block[e]
-        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks) + np.einsum("g,bg->b", size, self.longest) + 1e-5
+        bound = np.bincount(blk, qe * self.top[e], minlength=self.blocks) + peak + 1e-5
         order = np.argsort(-bound, kind="stable")
+        listed, about, least = np.zeros(len(self.table)), np.full((self.blocks, self.block), -1.0), 1e-12
         for now in (order[:8], order[8:]):
-            least = best[-1] if len(best) == k else 0.0
             now = now[bound[now] >= least]
             if not len(now):
                 break
-            some = np.zeros(self.blocks, dtype=bool)
-            some[now] = True
-            use = some[blk]
-            p, m = ranges(self.at[e[use]], self.at[e[use] + 1])
-            listed = np.bincount(self.example[p], np.repeat(qe[use], m) * self.weight[p], minlength=len(self.ids))
-            upper = np.full((self.blocks, self.block), -1.0)
-            upper[now] = np.einsum("bng,g->bn", self.length[now], size)
-            upper = upper.ravel()[: len(listed)]
-            upper[upper >= 0] += listed[upper >= 0]
+            if 4 * len(now) > self.blocks:  # a term's run over all blocks is read sooner than most of its pieces
+                listed, (p, m), qp = np.zeros(len(listed)), ranges(self.at[self.entry[terms[rare]]], self.at[self.entry[terms[rare] + 1]]), q[rare]
+            else:
+                some = np.zeros(self.blocks, dtype=bool)
+                some[now] = True
+                use = some[blk]
+                (p, m), qp = ranges(self.at[e[use]], self.at[e[use] + 1]), qe[use]
+            listed += np.bincount(self.example[p], np.repeat(qp, m) * self.weight[p], minlength=len(listed))
+            about[now] = listed.reshape(about.shape)[now] + part.reshape(about.shape)[now]
             if but >= 0:
-                upper[but] = -1.0
-            open_ = np.flatnonzero(upper > 0)
-            if len(best) < k and len(open_) > 4 * k:  # the likeliest first, for a good least
-                first = open_[np.argpartition(upper[open_], len(open_) - 2 * k)[-2 * k :]]
-                at, best = self._best(at, best, first, listed, qd, k)
-                upper[first] = -1.0
-                least = best[-1] if len(best) == k else 0.0
-            at, best = self._best(at, best, open_[upper[open_] >= max(least - 1e-5, 1e-12)], listed, qd, k)
-        return at, best
-
-    def _best(self, at: np.ndarray, best: np.ndarray, new: np.ndarray, listed: np.ndarray, qd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        s = np.round(listed[new] + np.einsum("nc,c->n", self.table[new], qd), 6)
-        at, best = np.concatenate([at, new[s > 0]]), np.concatenate([best, s[s > 0]])
-        if len(best) > k:
-            cut = best >= np.partition(best, len(best) - k)[len(best) - k]
-            at, best = at[cut], best[cut]
-        first = np.lexsort((at, -best))[:k]
-        return at[first], best[first]
-
-    def vote(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1) -> tuple[float | None, np.ndarray]:
+                about[but // self.block, but % self.block] = -1.0
+            open_ = np.flatnonzero(about >= least)
+            if len(open_) > k:
+                s = about.ravel()[open_]
+                least = max(least, np.partition(s, len(s) - k)[len(s) - k] - NEAR)
+                open_ = open_[s >= least]
+        s = np.round(listed[open_] + np.einsum("nc,c->n", self.table[open_], qd), 6)  # of those that may be among the k
+        open_, s = open_[s > 0], s[s > 0]
+        first = np.lexsort((open_, -s))[:k]
+        return open_[first], s[first]
+
+    def vote(self, terms: np.ndarray, q: np.ndarray, k: int, but: int = -1, common: tuple | None = None) -> tuple[float | None, np.ndarray]:
         """The cosine-weighted share of label 1 among the nearest, shrunk by a light vote at the mean; their indexes."""
-        i, s = self.nearest(terms, q, k, but)
+        i, s = self.nearest(terms, q, k, but, common)
         if not len(i):
             return None, i
         return float((s @ self.labels[i] + 0.05 * self.labels.mean()) / (s.sum() + 0.05)), i
 
+    def votes(self, queries: Iterator[tuple[np.ndarray, np.ndarray, int]], k: int) -> Iterator[tuple[float | None, np.ndarray]]:
+        """vote() of each (terms, weights, but), TILE at a time."""
+        queries = iter(queries)
+        while tile := list(islice(queries, TILE)):
+            qd = np.stack([self.spread(t, q) for t, q, _ in tile])
+            part = qd @ self.table.T
+            peak = part.reshape(len(tile), self.blocks, self.block).max(axis=2)
+            for (t, q, but), *common in zip(tile, qd, part, peak):
+                yield self.vote(t, q, k, but, tuple(common))
+
 
 _indexes: list[tuple[tuple, Index]] = []
+_numbers: list[tuple[pa.Array, dict[str, int]]] = []
 
 
 def index_of(examples: tuple) -> Index:
@@ -187,6 +207,13 @@ def index_of(examples: tuple) -> Index:
     return _indexes[0][1]
 
 
+def number_of(names: pa.Array) -> dict[str, int]:
+    """The Python worker's number by term, made by its first task that scores."""
+    if not _numbers or _numbers[0][0] is not names:
+        _numbers[:] = [(names, dict(zip(names.to_pylist(), range(len(names)))))]
+    return _numbers[0][1]
+
+
 def unit(terms: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """TF-IDF weights of one text over index terms, of length 1."""
     w = (1 + np.log(tf)) * weight[terms]
@@ -292,7 +319,8 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
         index = index_of(b.value[0])
         term, weight, cut = index.vector
         for batch in batches:
-            v = [index.vote(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], k, i)[0] for i in batch.column(0).to_numpy()]
+            own = batch.column(0).to_pylist()
+            v = [x for x, _ in index.votes(((term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], i) for i in own), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.float64())], names=["i", "v"])
 
     parts = spark.sparkContext.defaultParallelism
@@ -302,12 +330,15 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, k: int = K, max_exam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples, names, weight = b.value
         index = index_of(examples)
-        number = dict(zip(names.to_pylist(), range(len(names))))
+        number = number_of(names)
+
+        def query(t: pa.Scalar) -> tuple[np.ndarray, np.ndarray, int]:
+            terms, tf = numbered(term_freqs(t.as_py()), number)
+            return terms, unit(terms, tf, weight), -1
+
         for batch in batches:
             out, near = [], []
-            for t in batch.column(2):
-                terms, tf = numbered(term_freqs(t.as_py()), number)
-                v, i = index.vote(terms, unit(terms, tf, weight), k)
+            for v, i in index.votes(map(query, batch.column(2)), k):
                 out.append(prior if v is None else float(1 / (1 + np.exp(-(slope * v + level)))))
                 near.append(index.ids[i].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "predicted", "neighbours"])
