@@ -50,6 +50,7 @@ LEAST, MOST = 0.002, 0.95  # of the gate
 BUCKETS = 1 << 11  # at most (BUCKETS + VOCAB + 1) * (VOCAB + 1) counts reach the driver: 50 MB
 STEPS, RATE = 8, 0.08
 END = b" "  # cannot be a word
+PAD = 1 << 30  # no subword
 SLICE_WORDS = 200_000
 
 
@@ -80,7 +81,7 @@ class Spelling:
 
 def context(a, b):
     """Bucket of the two subwords before; -1 stands for the word's start."""
-    return ((a + 1) * 1031 + (b + 1)) * 2654435761 % (1 << 32) % BUCKETS
+    return ((a + 1) * 1031 + (b + 1)) * 2654435761 & (BUCKETS - 1)  # a power of 2
 
 
 def before(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +108,9 @@ class Speller:
         b, a = before(flat, ends)
         c, v = context(a, b), self.vocab
         n = self.total[c] + 4.0
-        end = np.where(b >= 0, (self.two[c, v] + 4.0 * self.one[b, v]) / n, 0.0)
-        p = (self.two[c, flat] + 4.0 * self.one[b, flat]) / n / np.maximum(1.0 - end, 1e-9)
+        two, one = c * (v + 1), np.where(b < 0, v, b) * (v + 1)
+        end = np.where(b >= 0, (self.two.take(two + v) + 4.0 * self.one.take(one + v)) / n, 0.0)
+        p = (self.two.take(two + flat) + 4.0 * self.one.take(one + flat)) / n / np.maximum(1.0 - end, 1e-9)
         last = flat == v
         go = np.log10(np.maximum(np.where(last, end, 1.0 - end), 1e-12))
         return p[~last].astype(np.float32), np.add.reduceat(go, np.concatenate([[0], ends[:-1]]))
@@ -140,30 +142,37 @@ class Attention:
         return np.exp(e - over[:, None]).ravel(), np.exp(self.bias), np.maximum(np.exp(self.sentinel - over), np.float32(1e-30))
 
     def _forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int, train: bool = False):
-        """forward() with positions in rows and windows in columns, one distance after another."""
-        w, rows = ids.shape[1], self.q.shape[0]
+        """forward() of what turned() or panels() give, one distance after another."""
+        w, rows = ids.shape[0], self.q.shape[0]
         table, bias, sentinel = self.tables
-        prev, ids, base = np.ascontiguousarray(prev.T, dtype=np.intp), np.ascontiguousarray(ids.T, dtype=np.int32), np.ascontiguousarray(base.T[first:])
         at, ez, lags = prev[first:] * rows, sentinel[prev[first:]], []
         total, hit = ez.copy(), ez * base
+        pair, e, same = np.empty(at.shape, dtype=np.intp), np.empty(at.shape, dtype=np.float32), np.empty(at.shape, dtype=np.int32)
         for back in range(1, w):
             t = max(first, back)
-            pair = at[t - first :] + prev[t - back : w - back]
-            e = np.take(table, pair, mode="clip")
+            if train:
+                pair, e, same = (np.empty(at[t - first :].shape, dtype=x.dtype) for x in (pair, e, same))
+            elif t > first:
+                pair, e, same = pair[: w - t], e[: w - t], same[: w - t]
+            np.add(at[t - first :], prev[t - back : w - back], out=pair)
+            np.take(table, pair, out=e, mode="clip")
             e *= bias[min(back, self.window - 1)]
             total[t - first :] += e
-            same = np.flatnonzero(ids[t:] == ids[t - back : w - back])
-            hit[t - first :].reshape(-1)[same] += e.reshape(-1)[same]
+            np.bitwise_xor(ids[t:], ids[t - back : w - back], out=same)
+            same -= 1
+            same >>= 31  # all bits where the subwords are the same, else none
+            same &= e.view(np.int32)
+            hit[t - first :] += same.view(np.float32)  # e there, else 0
             if train:
-                lags.append((back, t - first, pair, e, same))
-        return hit / total, ez / total, (prev, ids, base, total, lags)
+                lags.append((back, t - first, pair, e, same.view(np.float32)))
+        return hit / total, ez / total, (total, lags)
 
     def forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         """Probability of ids[:, first:], of windows (n, window), and the sentinel's weight there; positions of id -1 are padding.
 
         Masked attention: position t sees values j < t of its own window.
         """
-        p, z, _ = self._forward(prev, ids, base, first)
+        p, z, _ = self._forward(*turned(prev, ids, base, first), first)
         return p.T, z.T
 
     def step(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[float, np.ndarray]:
@@ -173,6 +182,11 @@ class Attention:
         return sums.loss / max(1, sums.n), (sums.gradient() / max(1, sums.n)).astype(np.float32)
 
 
+def turned(prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (n, window) with positions in rows and windows in columns, padding as PAD; base of the scored positions alone."""
+    return np.ascontiguousarray(prev.T, dtype=np.intp), np.ascontiguousarray(np.where(ids.T < 0, PAD, ids.T), dtype=np.int32), np.ascontiguousarray(base.T[first:])
+
+
 class Sums:
     """Loss of a model and its derivatives by the logit of each pair of subwords, by distance and by sentinel, summed over windows."""
 
@@ -182,18 +196,23 @@ class Sums:
         self.pair, self.bias, self.sentinel = np.zeros(rows * rows), np.zeros(model.window), np.zeros(rows)
 
     def add(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> None:
-        p, z, (prev, ids, base, total, lags) = self.model._forward(prev, ids, base, first, True)
-        live, least = ids[first:] >= 0, np.maximum(p, np.float32(1e-12))
+        self.add_turned(*turned(prev, ids, base, first), first)
+
+    def add_turned(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> None:
+        p, z, (total, lags) = self.model._forward(prev, ids, base, first, True)
+        live, least = ids[first:] != PAD, np.maximum(p, np.float32(1e-12))
         self.n += int(live.sum())
         self.loss -= float(np.log(least[live]).sum(dtype=np.float64))
         g = np.where(live, 1 / least, np.float32(0.0))
         g0 = g / total
         dense = p * g0
         for back, t, pair, e, same in lags:
-            ds = e * dense[t:]
-            ds.reshape(-1)[same] -= e.reshape(-1)[same] * g0[t:].reshape(-1)[same]
-            self.bias[min(back, self.model.window - 1)] += ds.sum(dtype=np.float64)
-            np.add.at(self.pair, pair.ravel(), ds.ravel().astype(np.float64))
+            e *= dense[t:]
+            same *= g0[t:]
+            e -= same
+            ds = e.ravel().astype(np.float64)
+            self.bias[min(back, self.model.window - 1)] += ds.sum()
+            np.add.at(self.pair, pair.ravel(), ds)
         dz = -z * (base - p) * g
         self.sentinel += np.bincount(prev[first:].ravel(), dz.ravel(), minlength=len(self.sentinel))
 
@@ -269,38 +288,50 @@ def words_of(path: str, speller: Speller) -> Words:
     return _spelled[0]
 
 
-def windows(ids: np.ndarray, base: np.ndarray, bos: int, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A text as overlapping windows (n, window) of prev, ids and base, all scored from window - stride on.
+class Panels:
+    """Texts as columns of STRIDE subwords side by side, each text led by a column of padding.
 
-    The text is led by window - stride padding positions, so every subword is in the scored part of
-    exactly one window.
+    A column and the one before it are a window of WINDOW = 2 * STRIDE subwords whose later half is scored, so
+    every subword is scored once; columns of padding score nothing.
     """
-    lead = window - stride
-    n = -(-len(ids) // stride)
-    size = n * stride + lead
-    x, b, p = np.full(size, -1, dtype=np.int32), np.ones(size, dtype=np.float32), np.full(size, bos, dtype=np.int32)
-    x[lead : lead + len(ids)] = ids
-    b[lead : lead + len(ids)] = base
-    p[lead + 1 : lead + len(ids)] = ids[:-1]
-    at = np.arange(n)[:, None] * stride + np.arange(window)[None, :]
-    return p[at], x[at], b[at]
-
-
-def scored(model: Attention, docs: list[tuple[np.ndarray, np.ndarray]], batch: int = 1024) -> list[tuple[np.ndarray, np.ndarray]]:
+
+    def __init__(self, ids: np.ndarray, base: np.ndarray, cut: np.ndarray, bos: int = VOCAB):
+        """Text i holds ids and base from cut[i] to cut[i + 1]."""
+        n = np.diff(cut)
+        columns = -(-n // STRIDE) + 1
+        at = np.arange(len(ids)) + np.repeat((np.cumsum(columns) - columns + 1) * STRIDE - cut[:-1], n)
+        self.shape = STRIDE, int(columns.sum())
+        self.place = at % STRIDE * self.shape[1] + at // STRIDE  # of each subword in the flattened panel
+        self.prev, self.ids, self.base = np.full(self.shape, bos, dtype=np.intp), np.full(self.shape, PAD, dtype=np.int32), np.ones(self.shape, dtype=np.float32)
+        self.ids.ravel()[self.place], self.base.ravel()[self.place] = ids, base
+        later = np.ones(len(ids), dtype=bool)
+        later[cut[:-1][n > 0]] = False
+        later = np.flatnonzero(later)
+        self.prev.ravel()[self.place[later]] = ids[later - 1]
+
+    def parts(self, most: int = 4096) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Columns, and their windows as turned() gives them."""
+        for a in range(1, self.shape[1], most):
+            b = min(a + most, self.shape[1])
+            yield slice(a, b), (*(np.concatenate([x[:, a - 1 : b - 1], x[:, a:b]]) for x in (self.prev, self.ids)), np.ascontiguousarray(self.base[:, a:b]))
+
+
+def scored(model: Attention, docs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Probability of each subword of each text (ids, base), and the sentinel's weight there."""
-    lead, out = WINDOW - STRIDE, []
-    parts = [windows(i, b, VOCAB) for i, b in docs]
-    if not parts:
-        return out
-    prev, ids, base = (np.concatenate(x) for x in zip(*parts))
-    got = [model.forward(prev[i : i + batch], ids[i : i + batch], base[i : i + batch], lead) for i in range(0, len(ids), batch)]
-    p, z = (np.concatenate(x) for x in zip(*got))
-    at = 0
-    for (i, _), part in zip(docs, parts):
-        n = len(part[0])
-        out.append((p[at : at + n].ravel()[: len(i)], z[at : at + n].ravel()[: len(i)]))
-        at += n
-    return out
+    if not docs:
+        return []
+    ends = np.cumsum([len(i) for i, _ in docs])
+    p, z = scored_flat(model, *(np.concatenate(x) for x in zip(*docs)), np.concatenate([[0], ends]))
+    return list(zip(np.split(p, ends[:-1]), np.split(z, ends[:-1])))
+
+
+def scored_flat(model: Attention, ids: np.ndarray, base: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """scored() of texts that lie one after another, from cut[i] to cut[i + 1]."""
+    panels = Panels(ids, base, cut)
+    p, z = np.zeros(panels.shape, dtype=np.float32), np.zeros(panels.shape, dtype=np.float32)
+    for own, part in panels.parts():
+        p[:, own], z[:, own], _ = model._forward(*part, WINDOW - STRIDE)
+    return p.ravel()[panels.place], z.ravel()[panels.place]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -381,9 +412,8 @@ def fit(train_docs: DataFrame, speller, path: str, steps: int = STEPS) -> np.nda
                     return
                 ids, base, ends = words.gather(words.types([x for w in toks for x in w]))
                 cut = np.concatenate([[0], ends[np.cumsum([len(w) for w in toks]) - 1]])
-                prev, ids, base = (np.concatenate(x) for x in zip(*(windows(ids[a:b], base[a:b], VOCAB) for a, b in zip(cut, cut[1:]))))
-                for a in range(0, len(ids), 1024):
-                    sums.add(prev[a : a + 1024], ids[a : a + 1024], base[a : a + 1024], WINDOW - STRIDE)
+                for _, part in Panels(ids, base, cut).parts():
+                    sums.add_turned(*part, WINDOW - STRIDE)
 
             for b in batches:
                 for t in _texts(b, 0):
@@ -442,10 +472,9 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
             doc = np.repeat(np.arange(len(toks)), n)
             sub_ids, sub_p, ends = words.gather(own)
             last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]  # subwords up to each text's end
-            got = scored(model, [(sub_ids[a:b], sub_p[a:b]) for a, b in zip(last, last[1:]) if b > a])
             c, spelled, gate = words.count[own], np.zeros(0), np.zeros(0)
             if len(flat):
-                p, z = (np.concatenate(x) for x in zip(*got))
+                p, z = scored_flat(model, sub_ids, sub_p, last)
                 begin = np.concatenate([[0], ends[:-1]])
                 spelled = 10 ** (np.add.reduceat(np.log10(np.maximum(p, 1e-30)), begin) + words.go[own]) * (1 - p_end)
                 gate = np.clip(MOST * (1.0 - z[begin].astype(np.float64)) ** 2, LEAST, MOST)
@@ -454,7 +483,7 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
             yield rows([np.arange(first, first + len(toks)), ids, held, n + end[0], per(np.ones(int(h.sum()))).astype(np.int64) + end[1], per(np.log10((c[h] + 0.1) / low)) + end[2], per(np.log10((1 - gate[h]) * (c[h] + 0.1) / low + gate[h] * spelled[h])) + end[3], None, None, None])
             rare = np.flatnonzero(~h)
             if len(rare):
-                yield rows([first + doc[rare], None, None, None, None, None, None, [flat[i] for i in rare], (gate * spelled)[rare], gate[rare]])
+                yield rows([first + doc[rare], None, None, None, None, None, None, list(map(flat.__getitem__, rare.tolist())), (gate * spelled)[rare], gate[rare]])
 
         for b in batches:
             kind = b.column(0).type
