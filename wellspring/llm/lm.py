@@ -30,9 +30,9 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, partial
 from itertools import islice, repeat
 
 import numpy as np
@@ -69,13 +69,13 @@ class Spelling:
         with open(path, "rb") as f:
             pairs = (line.split() for line in f)
             ranks = {base64.b64decode(a): int(b) for a, b in pairs if int(b) < vocab}
-        self.encode = tiktoken.Encoding("first_ranks", pat_str=r"[^ ]{1,48}| ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode = partial(tiktoken.Encoding("first_ranks", pat_str=r"[^ ]{1,48}| ", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy, disallowed_special=())
         self.vocab, self.space = vocab, ranks[b" "]
 
     def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, each closed by vocab, and the end offset of each; words hold no space."""
-        flat = np.array(self.encode(b" ".join(words).decode("utf-8", "replace")), dtype=np.int32)
-        flat = np.append(np.where(flat == self.space, self.vocab, flat), self.vocab).astype(np.int32)
+        flat = np.append(self.encode(b" ".join(words).decode("utf-8", "replace")).astype(np.int32), np.int32(self.vocab))
+        flat[flat == self.space] = self.vocab
         return flat, np.flatnonzero(flat == self.vocab) + 1
 
 
@@ -147,7 +147,7 @@ class Attention:
         table, bias, sentinel = self.tables
         at, ez, lags = prev[first:] * rows, sentinel[prev[first:]], []
         total, hit = ez.copy(), ez * base
-        pair, e, same = np.empty(at.shape, dtype=np.intp), np.empty(at.shape, dtype=np.float32), np.empty(at.shape, dtype=np.int32)
+        pair, e, same, equal = (np.empty(at.shape, dtype=x) for x in (np.intp, np.float32, np.float32, np.bool_))
         for back in range(1, w):
             t = max(first, back)
             if train:
@@ -158,13 +158,10 @@ class Attention:
             np.take(table, pair, out=e, mode="clip")
             e *= bias[min(back, self.window - 1)]
             total[t - first :] += e
-            np.bitwise_xor(ids[t:], ids[t - back : w - back], out=same)
-            same -= 1
-            same >>= 31  # all bits where the subwords are the same, else none
-            same &= e.view(np.int32)
-            hit[t - first :] += same.view(np.float32)  # e there, else 0
+            np.multiply(e, np.equal(ids[t:], ids[t - back : w - back], out=equal[: w - t]), out=same)
+            hit[t - first :] += same  # e where the subwords are the same, else 0
             if train:
-                lags.append((back, t - first, pair, e, same.view(np.float32)))
+                lags.append((back, t - first, pair, e, same))
         return hit / total, ez / total, (total, lags)
 
     def forward(self, prev: np.ndarray, ids: np.ndarray, base: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +228,14 @@ def adam(params: np.ndarray, grads: Iterator[np.ndarray], rate: float = RATE) ->
     return params
 
 
+def put(old: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """new written into old from position at on; a longer copy where old is too short."""
+    if at + len(new) > len(old):
+        old = np.concatenate([old[:at], np.empty(max(len(new), at // 2), dtype=old.dtype)])
+    old[at : at + len(new)] = new
+    return old
+
+
 class Words:
     """Spelled word types: subword ids, their base probabilities and the rest factor, gathered by type number."""
 
@@ -241,7 +246,7 @@ class Words:
     def clear(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__  # the next number
-        self.ids, self.p = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+        self.ids, self.p = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)  # these and the next may be longer than what they hold
         self.start, self.go, self.count = np.zeros(1, dtype=np.int64), np.zeros(0), np.zeros(0)
 
     def types(self, words: list[bytes]) -> np.ndarray:
@@ -250,14 +255,14 @@ class Words:
         old = len(self.number)
         out = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         if len(self.number) > old:
-            new = list(islice(self.number, old, None))
+            new = list(islice(reversed(self.number), len(self.number) - old))[::-1]
             v = self.speller.vocab
             flat, at = self.spelling.many(new)
-            n = np.diff(np.concatenate([[0], at])) - 1
             p, go = self.speller.spell(flat, at)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
-            self.ids, self.p, self.go = np.concatenate([self.ids, flat[flat != v]]), np.concatenate([self.p, p]), np.concatenate([self.go, go])
-            self.count = np.concatenate([self.count, self._counts(new)])
+            held = int(self.start[old])
+            self.start = put(self.start, old + 1, held + at - np.arange(1, len(at) + 1))  # without the ends of words
+            self.ids, self.p, self.go = put(self.ids, held, flat[flat != v]), put(self.p, held, p), put(self.go, old, go)
+            self.count = put(self.count, old, self._counts(new))
         return out
 
     def _counts(self, words) -> np.ndarray:
@@ -300,14 +305,12 @@ class Panels:
         n = np.diff(cut)
         columns = -(-n // STRIDE) + 1
         at = np.arange(len(ids)) + np.repeat((np.cumsum(columns) - columns + 1) * STRIDE - cut[:-1], n)
-        self.shape = STRIDE, int(columns.sum())
-        self.place = at % STRIDE * self.shape[1] + at // STRIDE  # of each subword in the flattened panel
+        self.shape, column = (STRIDE, int(columns.sum())), at // STRIDE
+        self.place = (at - column * STRIDE) * self.shape[1] + column  # of each subword in the flattened panel
         self.prev, self.ids, self.base = np.full(self.shape, bos, dtype=np.intp), np.full(self.shape, PAD, dtype=np.int32), np.ones(self.shape, dtype=np.float32)
-        self.ids.ravel()[self.place], self.base.ravel()[self.place] = ids, base
-        later = np.ones(len(ids), dtype=bool)
-        later[cut[:-1][n > 0]] = False
-        later = np.flatnonzero(later)
-        self.prev.ravel()[self.place[later]] = ids[later - 1]
+        prev = np.concatenate([ids[:1], ids[:-1]])
+        prev[cut[:-1][n > 0]] = bos
+        self.prev.ravel()[self.place], self.ids.ravel()[self.place], self.base.ravel()[self.place] = prev, ids, base
 
     def parts(self, most: int = 4096) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """Columns, and their windows as turned() gives them."""
@@ -335,33 +338,64 @@ def scored_flat(model: Attention, ids: np.ndarray, base: np.ndarray, cut: np.nda
 
 
 def tokens(text: bytes | None) -> list[bytes]:
+    """Words of one text; split_words() gives the same for many."""
     return text.lower().split() if text else []  # at \x20 and \x09-\x0d
 
 
+def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts (strings), one text after another, and their number in each."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+    full = pc.fill_null(pc.greater(pc.binary_length(bare), 0), False)
+    parts = pc.ascii_split_whitespace(bare.filter(full))
+    n = np.zeros(len(text), dtype=np.int64)
+    n[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(parts).to_numpy()
+    return parts.flatten().cast(pa.binary()), n
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words as Python objects, faster than one by one; they hold no space."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b" ")[0].as_py().split(b" ")
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def _texts(b: pa.RecordBatch, i: int) -> pa.Array:
-    return b.column(i).cast(pa.large_binary())
+def slices(batches: Iterator[pa.RecordBatch], i: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: texts, in column i, of 6 * SLICE_WORDS bytes, the last of them whole."""
+    for b in batches:
+        upto, a = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while a < b.num_rows:
+            end = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 6 * SLICE_WORDS)) + 1
+            yield b.slice(a, end - a)
+            a = end
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs (text) -> (word binary, c): occurrences of every word, and of END once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
-
-        c: Counter = Counter()
-        for b in batches:
-            for t in _texts(b, 0):
-                c.update(tokens(t.as_py()))
-                c[END] += 1
-                if len(c) > 300_000:
-                    yield out(c)
-                    c = Counter()
-        yield out(c)
+        held, size, texts = [], 0, 0
+
+        def summed() -> pa.Table:
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        for b in slices(batches, 0):
+            texts += b.num_rows
+            word, c = split_words(b.column(0))[0].value_counts().flatten()
+            held.append(pa.RecordBatch.from_arrays([word, c], names=["word", "c"]))
+            size += len(word)
+            if size > 600_000:  # words are met again in later slices; their sums take their place
+                held, size = (t := summed()).to_batches(), t.num_rows
+                if size > 300_000:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from summed().to_batches()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], names=["word", "c"])
 
     return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -375,7 +409,7 @@ def spelling_counts(counts: DataFrame, path: str, vocab: int = VOCAB) -> tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, keys = Spelling(path, vocab), [np.zeros(0, dtype=np.int64)]
         for b in batches:
-            words = [w for w in b.column(0).to_pylist() if w != END]
+            words = listed(b.column(0).filter(pc.not_equal(b.column(0), pa.scalar(END, pa.binary()))))
             if words:
                 flat, ends = spell.many(words)
                 one, two = before(flat, ends)
@@ -403,26 +437,16 @@ def fit(train_docs: DataFrame, speller, path: str, steps: int = STEPS) -> np.nda
         params = model.flat.copy()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, sums, texts, size = words_of(path, speller.value), Sums(Attention(params)), [], 0
-
-            def flush() -> None:
-                toks = [w for w in map(tokens, texts) if w]
-                texts.clear()
-                if not toks:
-                    return
-                ids, base, ends = words.gather(words.types([x for w in toks for x in w]))
-                cut = np.concatenate([[0], ends[np.cumsum([len(w) for w in toks]) - 1]])
+            words, sums = words_of(path, speller.value), Sums(Attention(params))
+            for b in slices(batches, 0):
+                flat, n = split_words(b.column(0))
+                if not len(flat):
+                    continue
+                own = flat.dictionary_encode()
+                ids, base, ends = words.gather(words.types(listed(own.dictionary))[own.indices.to_numpy()])
+                cut = np.concatenate([[0], ends[np.cumsum(n[n > 0]) - 1]])
                 for _, part in Panels(ids, base, cut).parts():
                     sums.add_turned(*part, WINDOW - STRIDE)
-
-            for b in batches:
-                for t in _texts(b, 0):
-                    texts.append(t.as_py())
-                    size += len(texts[-1] or b"")
-                    if size > 6 * SLICE_WORDS:
-                        flush()
-                        size = 0
-            flush()
             if sums.n:
                 total = sums.gradient()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), sums.n, dtype=np.int64))], names=["i", "x", "n"])
@@ -443,7 +467,8 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
     train_docs = docs.filter(~held_out())
     counts = scratch.table(word_counts(train_docs.select("text")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()}
+    first = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    top = dict(zip(first["word"].to_pylist(), first["c"].to_pylist()))
     speller = spark.sparkContext.broadcast(Speller(*spelling_counts(counts, path), VOCAB))
     params = fit(train_docs, speller, path)
     known = spark.sparkContext.broadcast(top)  # at most `head` words
@@ -464,12 +489,11 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
             m = len(cols[0])
             return pa.RecordBatch.from_arrays([pa.nulls(m, t or kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types)], names=names)
 
-        def emit(ids: pa.Array, held: pa.Array, texts: list, first: int) -> Iterator[pa.RecordBatch]:
-            toks = [tokens(t) for t in texts]
-            n = np.array([len(w) for w in toks])
-            flat = [x for w in toks for x in w]
-            own = words.types(flat)
-            doc = np.repeat(np.arange(len(toks)), n)
+        def emit(ids: pa.Array, held: pa.Array, text: pa.Array, first: int) -> Iterator[pa.RecordBatch]:
+            flat, n = split_words(text)
+            flat = flat.dictionary_encode()
+            own = words.types(listed(flat.dictionary))[flat.indices.to_numpy()]
+            doc = np.repeat(np.arange(len(n)), n)
             sub_ids, sub_p, ends = words.gather(own)
             last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]  # subwords up to each text's end
             c, spelled, gate = words.count[own], np.zeros(0), np.zeros(0)
@@ -479,21 +503,16 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
                 spelled = 10 ** (np.add.reduceat(np.log10(np.maximum(p, 1e-30)), begin) + words.go[own]) * (1 - p_end)
                 gate = np.clip(MOST * (1.0 - z[begin].astype(np.float64)) ** 2, LEAST, MOST)
             h = c > 0
-            per = lambda x: np.bincount(doc[h], x, minlength=len(toks))
-            yield rows([np.arange(first, first + len(toks)), ids, held, n + end[0], per(np.ones(int(h.sum()))).astype(np.int64) + end[1], per(np.log10((c[h] + 0.1) / low)) + end[2], per(np.log10((1 - gate[h]) * (c[h] + 0.1) / low + gate[h] * spelled[h])) + end[3], None, None, None])
+            per = lambda x: np.bincount(doc[h], x, minlength=len(n))
+            yield rows([np.arange(first, first + len(n)), ids, held, n + end[0], per(np.ones(int(h.sum()))).astype(np.int64) + end[1], per(np.log10((c[h] + 0.1) / low)) + end[2], per(np.log10((1 - gate[h]) * (c[h] + 0.1) / low + gate[h] * spelled[h])) + end[3], None, None, None])
             rare = np.flatnonzero(~h)
             if len(rare):
-                yield rows([first + doc[rare], None, None, None, None, None, None, list(map(flat.__getitem__, rare.tolist())), (gate * spelled)[rare], gate[rare]])
+                yield rows([first + doc[rare], None, None, None, None, None, None, flat.take(pa.array(rare)).dictionary_decode(), (gate * spelled)[rare], gate[rare]])
 
-        for b in batches:
-            kind = b.column(0).type
-            text, i = _texts(b, 2), 0
-            upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
-            while i < b.num_rows:
-                j = int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 6 * SLICE_WORDS)) + 1
-                part = b.slice(i, j - i)
-                yield from emit(part.column(0), part.column(1), text.slice(i, j - i).to_pylist(), rid)
-                rid, i = rid + part.num_rows, i + part.num_rows
+        for part in slices(batches, 2):
+            kind = part.column(0).type
+            yield from emit(part.column(0), part.column(1), part.column(2), rid)
+            rid += part.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out().alias("h"), "text").mapInArrow(run, f"rid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, lp double, word binary, psub double, gate double")
