@@ -102,3 +102,27 @@ def test_held_words_outgrow_their_arrays():
     assert all(np.array_equal(x, y) for x, y in zip(got, want))
     t = grown.types(vocabulary)
     assert np.array_equal(grown.go[t], whole.go[t]) and grown.count[t].sum() == 8 == grown.count[t][3]
+
+
+def test_words_met_often_stay_when_others_are_forgotten():
+    path = lm.tokenizer_path()
+    speller = lm.Speller(np.ones((lm.BUCKETS, lm.VOCAB + 1)), np.ones((lm.VOCAB + 1, lm.VOCAB + 1)), lm.VOCAB)
+    words, whole, asked = lm.Words(lm.Spelling(path), speller, {b"red": 4}, most=10), lm.Words(lm.Spelling(path), speller, {b"red": 4}), []
+    many = words.spelling.many
+    words.spelling.many = lambda new: asked.extend(new) or many(new)
+    for i in range(12):
+        call = [f"new{i}-{j}".encode() for j in range(4)] + [b"red", b"green"]
+        t, u = words.types(call), whole.types(call)
+        assert all(np.array_equal(x, y) for x, y in zip(words.gather(t), whole.gather(u)))
+        assert np.array_equal(words.go[t], whole.go[u]) and words.count[t].tolist() == [0, 0, 0, 0, 4, 0]
+        assert len(words.number) <= 16
+    assert asked.count(b"red") == asked.count(b"green") == 1
+
+
+def test_head_is_the_most_frequent_words(spark):
+    rows = [(f"w{i:03}".encode(), 1 + i * i * i // 4000 % 500) for i in range(300)] + [(b"top", 10**12), (b"next", 10**12 - 1)]
+    counts = spark.createDataFrame(rows, "word binary, c bigint").repartition(5)
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for head in (0, 1, 2, 3, 57, 250, 302, 1000):
+        assert lm.most_frequent(counts, head) == dict(ranked[:head]), head
+    assert lm.most_frequent(counts.limit(0), 5) == {}

@@ -248,10 +248,21 @@ class Words:
         self.number.default_factory = self.number.__len__  # the next number
         self.ids, self.p = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)  # these and the next may be longer than what they hold
         self.start, self.go, self.count = np.zeros(1, dtype=np.int64), np.zeros(0), np.zeros(0)
+        self.met = np.zeros(0, dtype=np.int32)  # calls of types() that asked for it
+
+    def forget(self) -> None:
+        """The half of ``most`` that was met most often stays, under new numbers; other words are spelled again when they come."""
+        words = list(self.number)
+        stay = np.sort(np.argsort(-self.met[: len(words)], kind="stable")[: self.most // 2])
+        self.ids, self.p, ends = self.gather(stay)
+        self.start, self.go, self.count, self.met = np.concatenate([[0], ends]), self.go[stay], self.count[stay], self.met[stay]
+        self.number.clear()
+        self.number.update(zip(map(words.__getitem__, stay.tolist()), range(len(stay))))
 
     def types(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words, good until the next call."""
         if len(self.number) > self.most:
-            self.clear()
+            self.forget()
         old = len(self.number)
         out = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         if len(self.number) > old:
@@ -262,7 +273,8 @@ class Words:
             held = int(self.start[old])
             self.start = put(self.start, old + 1, held + at - np.arange(1, len(at) + 1))  # without the ends of words
             self.ids, self.p, self.go = put(self.ids, held, flat[flat != v]), put(self.p, held, p), put(self.go, old, go)
-            self.count = put(self.count, old, self._counts(new))
+            self.count, self.met = put(self.count, old, self._counts(new)), put(self.met, old, np.zeros(len(new), dtype=np.int32))
+        self.met[out] += 1
         return out
 
     def _counts(self, words) -> np.ndarray:
@@ -428,6 +440,26 @@ def spelling_counts(counts: DataFrame, path: str, vocab: int = VOCAB) -> tuple[n
     return two, one
 
 
+def most_frequent(counts: DataFrame, head: int) -> dict[bytes, int]:
+    """Counts of the ``head`` most frequent words, equal counts by word.
+
+    Classes of counts, at most 64 * 63, tell where the head ends; only its words, and in one task only those of the
+    class at its edge, are moved, however many there are.
+    """
+    level = F.floor(F.log2("c") * 64)
+    left, whole, edge = head, None, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
+        if r["n"] > left:
+            edge = r["level"]
+            break
+        left, whole = left - r["n"], r["level"]
+    parts = [counts.filter(level >= whole)] if whole is not None else []
+    if edge is not None and left:
+        parts.append(counts.filter(level == edge).orderBy(F.desc("c"), "word").limit(left))
+    got = [p.select("word", "c").toArrow() for p in parts]
+    return {w: c for t in got for w, c in zip(t["word"].to_pylist(), t["c"].to_pylist())}
+
+
 def fit(train_docs: DataFrame, speller, path: str, steps: int = STEPS) -> np.ndarray:
     """Attention parameters after one Adam step for each hash bucket of the training documents."""
     model = Attention()
@@ -467,8 +499,7 @@ def score(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFra
     train_docs = docs.filter(~held_out())
     counts = scratch.table(word_counts(train_docs.select("text")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    first = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    top = dict(zip(first["word"].to_pylist(), first["c"].to_pylist()))
+    top = most_frequent(counts, head)
     speller = spark.sparkContext.broadcast(Speller(*spelling_counts(counts, path), VOCAB))
     params = fit(train_docs, speller, path)
     known = spark.sparkContext.broadcast(top)  # at most `head` words
